@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_digests, default_vocabulary
 from .common import read, tune
 from .langid import language_id
+from .lm import lm_scores
+from .mixing import mix_sources, word_count
 from .ranking import quality_ranking
 from .repetition import repetition_quality
+from .topk import quantised, top_k
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,27 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, quantised("embedding"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(read(spark, sf_dir, "documents"), word_count("text"), F.array("source"))
+    info = mixed.source_info  # a row for each source
+    return mixed.join(F.broadcast(info), mixed["sources"][0].eqNullSafe(info["source"])).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    tune(spark)
+    return bpe_digests(read(spark, sf_dir, "documents"), vocabulary or default_vocabulary())
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return repetition_quality(read(spark, sf_dir, "documents"))
@@ -25,5 +51,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op8_repetition_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
