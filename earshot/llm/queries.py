@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests, default_vocabulary
 from .common import read, tune
 from .langid import language_id
+from .linededup import dedup_lines
 from .lm import lm_scores
 from .mixing import mix_sources, word_count
 from .ranking import quality_ranking
@@ -20,6 +21,12 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").alias("kept_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, quantised("embedding"))
@@ -51,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
