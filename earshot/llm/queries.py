@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests, default_vocabulary
 from .common import read, tune
+from .jaccard import near_duplicates
 from .langid import language_id
 from .linededup import dedup_lines
 from .lm import lm_scores
@@ -53,10 +54,16 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    placed = read(spark, sf_dir, "documents").withColumn("_uid", F.monotonically_increasing_id())
+    return near_duplicates(placed).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op9_jaccard_join, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
