@@ -14,6 +14,7 @@ from .lm import lm_scores
 from .mixing import mix_sources, word_count
 from .ranking import quality_ranking
 from .repetition import repetition_quality
+from .suffixdedup import remove_repeats
 from .topk import quantised, top_k
 
 
@@ -39,6 +40,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(F.broadcast(info), mixed["sources"][0].eqNullSafe(info["source"])).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     tune(spark)
     return bpe_digests(read(spark, sf_dir, "documents"), vocabulary or default_vocabulary())
@@ -65,5 +71,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op9_jaccard_join, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op4_suffix_dedup, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op9_jaccard_join, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
