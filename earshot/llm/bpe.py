@@ -332,15 +332,15 @@ class Tokenizer:
 _made: dict[str, Tokenizer] = {}  # one for each worker
 
 
-def bpe_rows(docs: DataFrame, path: str, emit: Callable, schema: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: key and what emit(tokenizer, ids, counts) makes, a list of Arrow arrays for the columns of schema.
+def bpe_rows(docs: DataFrame, path: str, emit: Callable, schema: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: key, the columns in keep, and what emit(tokenizer, ids, counts) makes, a list of Arrow arrays for the columns of schema.
 
     ids holds the ids of some texts in a row, counts how many each text has.
     """
     spark: SparkSession = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))  # a file of a fixed size
-    kind = dict(docs.select(key).dtypes)[key]
-    names = [key, *(c.split()[0] for c in schema.split(", "))]
+    kinds = dict(docs.select(key, *keep).dtypes)
+    names = [key, *keep, *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = None
@@ -353,9 +353,9 @@ def bpe_rows(docs: DataFrame, path: str, emit: Callable, schema: str, text: str
             texts = batch.column(1).fill_null("")
             for lo, hi, _ in chunks(texts, 3 << 20):
                 ids, n = tok.encode(texts.slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *emit(tok, ids, n)], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in (0, *range(2, len(keep) + 2))), *emit(tok, ids, n)], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {schema}")
+    return docs.select(key, text, *keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + f", {schema}")
 
 
 def _arrays(tok: Tokenizer, ids: np.ndarray, n: np.ndarray) -> list[pa.Array]:
@@ -372,6 +372,16 @@ def _digests(tok: Tokenizer, ids: np.ndarray, n: np.ndarray) -> list[pa.Array]:
     return [pa.array(n, pa.int64()), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string())]
 
 
+def _both(tok: Tokenizer, ids: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    off = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return [*_digests(tok, ids, n), pa.ListArray.from_arrays(off, pa.array(ids, pa.int32()))]
+
+
+def bpe_corpus(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """As bpe_digests, with the columns in keep and the ids themselves."""
+    return bpe_rows(docs, path, _both, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>", text, key, keep)
+
+
 def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, ids (array of int) and decoded (text) of every row of docs."""
     return bpe_rows(docs, path, _arrays, "ids array<int>, decoded string", text, key)

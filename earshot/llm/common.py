@@ -22,14 +22,14 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % m
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def shared(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (set here only where it is unset) and returns what reads it."""
+    """Writes df to the shared folder, which cuts its lineage, and returns what reads it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark))
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def _own_dir(spark: SparkSession) -> str:
-    """A folder beside the warehouse, for sessions with no spark.checkpoint.dir (tests)."""
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"

@@ -178,14 +178,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return langs, (w * idf[:, None] * 10 / t).astype(np.float32)
 
 
-def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score; all of its columns stay."""
+def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two further columns, named by out: the language and its probability."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    names = docs.columns
-    at = len(names)
-    schema = StructType(docs.withColumn("_t", F.col(text)).schema.fields[:-1])
-    schema = schema.add("lang_pred", StringType()).add("score", DoubleType())
+    at = len(docs.columns)
+    schema = StructType(list(docs.schema.fields)).add(out[0], StringType()).add(out[1], DoubleType())
     codes = np.array([*langs, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +205,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), pa.array(codes[best], pa.string()), pa.array(p)], names=schema.names)
 
-    return docs.withColumn("_text_read", F.col(text)).mapInArrow(run, schema)
+    return docs.select("*", F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, per_language: int = 500, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

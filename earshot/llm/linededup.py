@@ -309,14 +309,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
     spark: SparkSession = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     names = docs.columns
-    placed = docs.withColumn("_uid", F.monotonically_increasing_id())
-    rows = placed.select("_uid", F.col(key).cast("long").alias("_id"), text)
+    inner = [f"_c{j}" for j in range(len(names))]  # so that no name can clash
+    at = names.index(text)
+    placed = docs.toDF(*inner).withColumn("_uid", F.monotonically_increasing_id())
+    line_text = inner[at]
+    rows = placed.select("_uid", F.col(inner[names.index(key)]).cast("long").alias("_id"), line_text)
     found = shared(rows.mapInArrow(_scan(blocks, min_chars), SCHEMA).repartition(blocks, "bucket").mapInArrow(_settle(blocks), SCHEMA), spark)
     near = found.where(F.col("kind") != _DROP).repartition(blocks, "bucket").mapInArrow(_find, "_uid long, d long, n int, h long, code int")
     near = shared(near.groupBy("_uid").agg(F.collect_list(F.struct("d", "n", "h", "code")).alias("listed")), spark)
     small = near.count() <= _BROADCAST_ROWS  # a row for each text with such lines; beyond that both sides are shuffled
-    texts = placed.select("_uid", text).join(F.broadcast(near) if small else near, "_uid")
-    cut = shared(texts.select("_uid", "listed", text).mapInArrow(_cut, "_uid long, d long, n int, h long, code int, line string"), spark)
+    texts = placed.select("_uid", line_text).join(F.broadcast(near) if small else near, "_uid")
+    cut = shared(texts.select("_uid", "listed", line_text).mapInArrow(_cut, "_uid long, d long, n int, h long, code int, line string"), spark)
     pairs = cut.mapInArrow(_variants(blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_pair, "h long, other long, _uid long, n long").distinct()
     left = cut.select(F.col("h"), F.col("line").alias("_l"))
     right = cut.select(F.col("h").alias("other"), F.col("line").alias("_r"))
@@ -324,9 +327,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
     near_lists = close.groupBy("_uid").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("near"))
     exact_lists = found.where(F.col("kind") == _DROP).repartition(blocks, "bucket").mapInArrow(_lists, "_uid long, exact array<int>")
     drops = exact_lists.join(near_lists, "_uid", "full")
-    at = names.index(text)
     schema = StructType(docs.withColumn(text, F.col(text).cast("string")).schema.fields)
     for c in ("n_lines", "n_exact", "n_near"):
+        while c in schema.names:
+            c = "_" + c
         schema = schema.add(c, IntegerType())
     for f in schema.fields:
         f.nullable = True
@@ -346,6 +350,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
             counts = [pa.array([len(x or ()) for x in xs], pa.int32()) for xs in (exact, close_)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), *counts], names=schema.names)
 
-    inner = [f"_c{j}" for j in range(len(names))]
-    joined = placed.toDF(*inner, "_uid").join(drops, "_uid", "left").select(*inner, "exact", "near")
+    joined = placed.join(drops, "_uid", "left").select(*inner, "exact", "near")
     return joined.mapInArrow(rewrite, schema)

@@ -95,10 +95,10 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return sent
 
 
-def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_copies: int = 2, key: str = "doc_id", seed: int = 1, max_patterns: int = 10_000) -> DataFrame:
-    """key, sources (array), size, taken (words) and copies of every row of docs; sources: the array of those a row belongs to."""
+def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_copies: int = 2, key: str = "doc_id", seed: int = 1, max_patterns: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, sources (array), size, copies and taken (words) of every row of docs; sources: the array of those a row belongs to."""
     spark = docs.sparkSession
-    rows = shared(docs.select(key, F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size")), spark).withColumn("_uid", F.monotonically_increasing_id())
+    rows = shared(docs.select(key, F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *keep), spark).withColumn("_uid", F.monotonically_increasing_id())
     groups = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(groups) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns of sources")
@@ -137,6 +137,6 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[f
     copies = F.col("whole") + (F.col("more") | F.coalesce("last", F.lit(False))).cast("long")
     copies = F.when(F.size("sources") > 0, F.least(copies, F.lit(max_copies))).otherwise(0)
     source_info = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in names], "source string, source_size long, target double")
-    result = out.select(key, "sources", "size", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    result = out.select(key, *keep, "sources", "size", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
     result.source_info = source_info  # sizes and targets of the sources, a row each
     return result
