@@ -1,6 +1,77 @@
-"""A pipeline of the operators of earshot.llm over documents."""
+"""A pipeline of operators of earshot.llm over the table documents.
+
+Each stage takes what the stage before kept, as a table that is read, and returns the columns of documents; the last
+returns tokens. ORACLE_SQL is None, as SQL can't express the trained language model of the first stage; tests
+hold the stages against brute force.
+"""
+
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from earshot.llm.bpe import bpe_corpus, default_vocabulary
+from earshot.llm.common import crc_mod, shared_dir, tune
+from earshot.llm.jaccard import near_duplicates
+from earshot.llm.langid import identify, train
+from earshot.llm.linededup import dedup_lines
+from earshot.llm.mixing import mix_sources, word_count
+
+#: Documents whose language is less probable than this are rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with letters whose language is recognised."""
+    tune(spark)
+    langs, table = train(docs.where(crc_mod("doc_id", 4) != 2))
+    found = identify(docs, langs, table, out=("_lang", "_score"))
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; documents of which no line is left go."""
+    tune(spark)
+    kept = dedup_lines(docs).where((F.col("n_lines") == 0) | (F.col("n_exact") + F.col("n_near") < F.col("n_lines")))
+    return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, that of the smallest id."""
+    tune(spark)
+    placed = docs.withColumn("_uid", F.monotonically_increasing_id())
+    first = near_duplicates(placed).where("first").select("_uid")
+    return placed.join(first, "_uid", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Brings sources to their target weights; a document that is taken twice has two rows."""
+    tune(spark)
+    placed = docs.withColumn("_uid", F.monotonically_increasing_id())
+    mixed = mix_sources(placed, word_count("text"), F.array("source"), keep=("_uid",)).where("copies > 0").select("_uid", F.col("copies").cast("int").alias("_copies"))
+    both = placed.join(mixed, "_uid")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes the texts: doc_id, lang, source, n_tokens, digests of ids and decoded text, ids."""
+    tune(spark)
+    return bpe_corpus(docs, default_vocabulary(), keep=("lang", "source"))
+
+
+STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("source mixing", mix), ("BPE", tokens)]
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written as Parquet in the shared folder and read again."""
+    top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{top}/{k}")
+            docs = spark.read.parquet(f"{top}/{k}")
+    return docs
