@@ -168,10 +168,10 @@ def top_k(rows: DataFrame, is_query: Column, vector: Column, k: int = 5, key: st
         home = queries.select(shard.alias("shard"), F.lit(1).alias("kind"), "uid", "id", "v", F.lit(None).cast("double").alias("floor"))
         first = shared(run(home), spark)
         floors = first.groupBy("quid").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("got")).where(F.col("got") >= k)
-        others = F.explode(F.sequence(F.lit(1), F.lit(n - 1))) if n > 1 else None
         part = first
-        if others is not None:
-            rest = queries.join(floors.withColumnRenamed("quid", "uid"), "uid", "left").select(((shard + others) % n).cast("int").alias("shard"), F.lit(1).alias("kind"), "uid", "id", "v", "floor")
+        if n > 1:
+            asked = queries.join(floors.withColumnRenamed("quid", "uid"), "uid", "left").withColumn("_other", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+            rest = asked.select(((shard + F.col("_other")) % n).cast("int").alias("shard"), F.lit(1).alias("kind"), "uid", "id", "v", "floor")
             part = first.unionByName(run(rest))
         found = part if found is None else found.unionByName(part)
     if found is None:
