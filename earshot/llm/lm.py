@@ -276,7 +276,7 @@ class Mixture:
         one = np.bincount(w, weights=c, minlength=k2)
         two = np.bincount(v * k2 + w, weights=c, minlength=k2 * k2).reshape(k2, k2)
         three = np.bincount((u * k3 + self.to3[v]) * k3 + self.to3[w], weights=c, minlength=k3**3).reshape(k3, k3, k3)
-        part = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros_like(x), where=x.sum(-1, keepdims=True) > 0)
+        part = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros(x.shape), where=x.sum(-1, keepdims=True) > 0)
         freq = np.minimum(np.log2(three.sum(2) + 1).astype(np.int64), BUCKETS - 1)
         return part(one), part(two), part(three), freq
 
