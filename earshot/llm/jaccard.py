@@ -38,7 +38,7 @@ from .graph import connected_components
 from .lm import bucket_of
 from .textbuf import Buf, chunks, mix, windows
 
-_BROADCAST_ROWS = 500_000
+_BROADCAST_ROWS = 200_000
 _BLOCK_SCHEMA = "bucket int, base long, a binary, b binary"
 
 

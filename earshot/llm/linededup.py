@@ -39,7 +39,7 @@ _LOWEST = -(1 << 63)
 LINE = np.dtype([("h", "<u8"), ("d", "<i8"), ("u", "<i8"), ("n", "<i4")])
 SCHEMA = "bucket int, kind int, a binary, b binary"
 _DROP, _LINES, _HALVES, _CODES = 0, 1, 2, 3
-_BROADCAST_ROWS = 500_000
+_BROADCAST_ROWS = 50_000
 
 
 class _Symbols:
