@@ -75,7 +75,8 @@ def _lookup(values: dict[str, int]) -> Column:
 def number_of(run: Column) -> Column:
     """The digits for a run of number words, or null if it has no value.
 
-    Two or more bare digits are read out one by one; other runs are summed, with hundred and thousand as factors.
+    Two or more bare digits are read out one by one; other runs are summed, with hundred and thousand as factors. A value
+    of more than 38 digits counts as none.
     """
     digits, units = _lookup({k: v for k, v in ONES.items() if v < 10}), _lookup(ONES | TENS)
     bare = (F.size(run) >= 2) & F.forall(run, lambda w: F.map_contains_key(digits, w))
@@ -89,7 +90,7 @@ def number_of(run: Column) -> Column:
         hundred, thousand = (word == "hundred") & acc["seen"], (word == "thousand") & acc["seen"]
         part = F.when(value.isNotNull(), F.try_add(acc["part"], value.cast(big))).when(hundred, F.try_multiply(at_least_one, F.lit(100).cast("decimal(3,0)"))).when(thousand, F.lit(0).cast(big)).otherwise(acc["part"])
         total = F.when(thousand, F.try_add(acc["total"], F.try_multiply(at_least_one, F.lit(1000).cast("decimal(4,0)")))).otherwise(acc["total"])
-        return F.struct(total.cast(big).alias("total"), part.cast(big).alias("part"), (acc["seen"] | value.isNotNull()).alias("seen"), (acc["ok"] & (value.isNotNull() | hundred | thousand)).alias("ok"))
+        return F.struct(total.cast(big).alias("total"), part.cast(big).alias("part"), (acc["seen"] | value.isNotNull()).alias("seen"), (acc["ok"] & (value.isNotNull() | hundred | thousand) & part.isNotNull() & total.isNotNull()).alias("ok"))
 
     summed = F.aggregate(run, zero, step, lambda acc: F.when(acc["ok"] & acc["seen"], F.try_add(acc["total"], acc["part"]).cast("string")))
     return F.when(bare, spelled).otherwise(summed)
