@@ -234,20 +234,22 @@ def prefix(n: int, percent: int, k: int) -> int:
 
 
 def boundary(sizes: dict[int, int], percent: int, scan: float = 3.0) -> int:
-    """The size up to which sets are light: least number of keys, plus scan list entries for each single-shingle key."""
-    top = max(sizes, default=0)
-    light = {n: c * (prefix(n, percent, 2) * (prefix(n, percent, 2) - 1) / 2) for n, c in sizes.items()}
-    heavy = {n: c * prefix(n, percent, 1) * (1 + scan) for n, c in sizes.items()}
-    best, cost = 0, sum(heavy.values())
-    total = cost
-    for n in sorted(sizes):
-        if n > min(top, 4000):
-            break
-        total += light[n] - heavy[n]
-        both = sum(heavy[x] for x in sizes if percent * (n + 1) / 100 <= x <= n)
-        if total + both < cost:
-            best, cost = n, total + both
-    return best
+    """The size up to which sets are light, at least cost: a unit for each key, and scan list entries more for each single-shingle key.
+
+    Light sets that may link to heavy ones pay for both. Tried are the sizes themselves, and those just large enough
+    that a size pays once.
+    """
+    n = np.array(sorted(sizes), np.int64)
+    if not len(n):
+        return 0
+    count = np.array([sizes[x] for x in n.tolist()], float)
+    one, two = (np.array([prefix(x, percent, k) for x in n.tolist()], float) for k in (1, 2))
+    light, heavy = (np.concatenate([[0], np.cumsum(count * c)]) for c in (two * (two - 1) / 2, one * (1 + scan)))
+    tried = np.unique(np.concatenate([[0], n, 100 * n // percent + 1]))
+    upto = np.searchsorted(n, tried, side="right")
+    zone = np.minimum(np.searchsorted(n, percent * (tried + 1) / 100, side="left"), upto)
+    cost = light[upto] + heavy[-1] - heavy[upto] + heavy[upto] - heavy[zone]
+    return int(tried[cost.argmin()])
 
 
 _KEY = np.dtype([("h", "<u8"), ("u", "<i8"), ("n", "<u4")])

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from texts import documents
 
+from earshot.llm import jaccard, linededup, suffixdedup
 from earshot.llm.jaccard import boundary, near_duplicates, prefix, resolve
 from earshot.llm.linededup import dedup_lines
 from earshot.llm.repetition import RepetitionRules, repetition_quality
@@ -55,7 +56,9 @@ def within_one(a, b):
     return True
 
 
-def test_line_dedup(table):
+@pytest.mark.parametrize("rows_to_broadcast", [50_000, -1])
+def test_line_dedup(table, monkeypatch, rows_to_broadcast):
+    monkeypatch.setattr(linededup, "_BROADCAST_ROWS", rows_to_broadcast)
     rng = random.Random(3)
     base = ["".join(rng.choice("abé日 ") for _ in range(rng.randint(0, 16))) for _ in range(40)]
 
@@ -97,8 +100,9 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [64, 100])
-def test_suffix_dedup(table, length):
+@pytest.mark.parametrize("length,bytes_to_broadcast", [(64, 1 << 20), (100, -1)])
+def test_suffix_dedup(table, monkeypatch, length, bytes_to_broadcast):
+    monkeypatch.setattr(suffixdedup, "_BROADCAST_BYTES", bytes_to_broadcast)
     rng = random.Random(length)
     rows = documents(n=25)
     passage = "".join(rng.choice("abcdé ") for _ in range(150))
@@ -143,7 +147,9 @@ def components(rows, percent=75, k=5):
     return [(r[0], len(s), min(least[x])) for r, s, x in zip(rows, sets, label, strict=True)]
 
 
-def test_jaccard(table):
+@pytest.mark.parametrize("rows_to_broadcast", [50_000, -1])
+def test_jaccard(table, monkeypatch, rows_to_broadcast):
+    monkeypatch.setattr(jaccard, "_BROADCAST_ROWS", rows_to_broadcast)
     rng = random.Random(9)
     rows = documents(n=30)
     for g in range(25):  # small and large sets with few or many changes
