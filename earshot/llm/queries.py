@@ -73,4 +73,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_line_dedup, op3_exact_top_k, op4_suffix_dedup, op5_bpe, op6_mix_sources, op7_lm_scores, op8_repetition_rules, op9_jaccard_join, op10_language_id)}
-ORACLE_SQL = {"op2_line_dedup": oracle.LINES, "op3_exact_top_k": oracle.TOP_K, "op4_suffix_dedup": oracle.SUFFIXES, "op9_jaccard_join": oracle.JACCARD}
+ORACLE_SQL = {"op2_line_dedup": oracle.LINES, "op3_exact_top_k": oracle.TOP_K, "op4_suffix_dedup": oracle.SUFFIXES, "op8_repetition_rules": oracle.REPETITION, "op9_jaccard_join": oracle.JACCARD}
