@@ -76,15 +76,22 @@ def butterworth(order: int, low: float | None, high: float | None) -> tuple[np.n
     return np.concatenate([z, -np.ones(len(poles) - len(z))]), (4 + poles) / (4 - poles), float(gain)
 
 
-def _filtered(x: np.ndarray, design: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-    zeros, poles, gain = design
-    ring = int(min(200_000, 40 / max(1e-4, 1 - np.abs(poles).max())))
-    n = 1 << int(np.ceil(np.log2(max(2, len(x) + ring))))
+@lru_cache(64)
+def _response(order: int, low: float, high: float | None, n: int) -> np.ndarray:
+    zeros, poles, gain = butterworth(order, low, high)
     w = np.exp(1j * np.pi * np.arange(n // 2 + 1) / (n // 2))
     h = np.full(len(w), gain, complex)
     for z, p in zip(zeros, poles, strict=True):
         h *= (w - z) / (w - p)
-    return np.fft.irfft(np.fft.rfft(x, n) * h, n)[: len(x)]
+    return h
+
+
+def filtered(x: np.ndarray, order: int, low: float, high: float | None) -> np.ndarray:
+    """The causal Butterworth filter from rest, by a product of spectra padded beyond its ring-out (to 1e-17 of its start)."""
+    slowest = float(np.abs(butterworth(order, low, high)[1]).max())
+    ring = int(min(200_000, 40 / max(1e-4, 1 - slowest)))
+    n = 1 << int(np.ceil(np.log2(max(2, len(x) + ring))))
+    return np.fft.irfft(np.fft.rfft(x, n) * _response(order, low, high, n), n)[: len(x)]
 
 
 def resample(x: np.ndarray, sr_in: int, sr_out: int) -> np.ndarray:
@@ -112,7 +119,7 @@ def bandlimit(x: np.ndarray, sr: int, low_hz: float = 300.0, high_hz: float = 34
     high_hz = min(high_hz, nyquist * 0.999)
     if low_hz >= high_hz or not len(x):
         return np.asarray(x, np.float32)
-    return _filtered(x, butterworth(8, low_hz / nyquist, high_hz / nyquist)).astype(np.float32)
+    return filtered(x, 8, low_hz / nyquist, high_hz / nyquist).astype(np.float32)
 
 
 def _steps(level: np.ndarray) -> np.ndarray:
@@ -157,7 +164,7 @@ def _pink(n: int, rng: np.random.Generator) -> np.ndarray:
 def _babble(n: int, rng: np.random.Generator) -> np.ndarray:
     total = np.zeros(n)
     for _ in range(6):
-        voice = _filtered(_white(n, rng), butterworth(4, 0.05, 0.75))
+        voice = filtered(_white(n, rng), 4, 0.05, 0.75)
         total += np.roll(voice, rng.integers(0, max(1, n // 4)))
     return total
 

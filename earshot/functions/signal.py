@@ -11,6 +11,11 @@ MU, A = 255, 87.6
 _LN_A = 1.0 + math.log(A)
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def clip(x: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double")))
 
@@ -61,7 +66,7 @@ def peak(samples: Column) -> Column:
 
 def peak_normalize(samples: Column) -> Column:
     """Divides by the peak, only where that exceeds 1."""
-    return F.when(peak(samples) > 1.0, F.transform(samples, lambda x: x / F.greatest(peak(samples), F.lit(1.0)))).otherwise(F.transform(samples, lambda x: x.cast("double")))
+    return let(F.greatest(peak(samples), F.lit(1.0)), lambda top: F.transform(samples, lambda x: x.cast("double") / top))
 
 
 def hum(n: Column, rate: int = 8000) -> Column:
@@ -88,12 +93,14 @@ def frame_powers(samples: Column, frame: int = 400) -> Column:
 
 def active_power(samples: Column, frame: int = 400, percentile: float = 0.7) -> Column:
     """Mean power of the frames at or above a percentile (between neighbours, linear); of the whole signal if it is shorter than a frame."""
-    p = F.array_sort(frame_powers(samples, frame))
-    at = (F.size(p) - 1) * F.lit(percentile)
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    threshold = F.element_at(p, F.greatest(low, F.lit(0)) + 1) + (at - low) * (F.element_at(p, F.greatest(high, F.lit(0)) + 1) - F.element_at(p, F.greatest(low, F.lit(0)) + 1))
-    active = F.filter(p, lambda x: x >= threshold)
-    mean = F.aggregate(active, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(active), F.lit(1))
+
+    def louder(p: Column) -> Column:
+        at = (F.size(p) - 1) * F.lit(percentile)
+        low, high = (F.greatest(f(at).cast("int"), F.lit(0)) for f in (F.floor, F.ceil))
+        first = F.element_at(p, low + 1)
+        return let(first + (at - low) * (F.element_at(p, high + 1) - first), lambda level: F.filter(p, lambda x: x >= level))
+
+    mean = let(let(F.array_sort(frame_powers(samples, frame)), louder), lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1)))
     whole = mean_power(samples)
     return F.when(F.size(samples) >= frame, mean).otherwise(F.when(whole == 0, F.lit(1e-12)).otherwise(whole))
 

@@ -20,32 +20,42 @@ _DEL, _INS = np.int64(1) << 21, np.int64(1) << 42
 
 
 def _fill(ref: np.ndarray, hyp: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Packed counts for padded pairs: substitutions, deletions << 21, insertions << 42."""
+    """Packed counts for padded pairs: substitutions, deletions << 21, insertions << 42.
+
+    A diagonal is a block of consecutive table rows for all pairs, so every step works on contiguous memory.
+    """
     pairs, rows, cols = len(n), ref.shape[1], hyp.shape[1]
-    far = np.int32(1 << 30)
-    blank = (np.full((pairs, rows + 1), far, np.int32), np.zeros((pairs, rows + 1), np.int64))
-    older, old = blank, blank
+    ref, back = np.ascontiguousarray(ref.T), np.ascontiguousarray(hyp.T[::-1])
+    cost = [np.full((rows + 1, pairs), 1 << 30, np.int32) for _ in range(3)]
+    ops = [np.zeros((rows + 1, pairs), np.int64) for _ in range(3)]
+    ends: dict[int, np.ndarray] = {}
+    order = np.argsort(n + m, kind="stable")
+    total = (n + m)[order]
+    for d in np.unique(total).tolist():
+        ends[d] = order[np.searchsorted(total, d) : np.searchsorted(total, d, side="right")]
     out = np.zeros(pairs, np.int64)
-    for d in range(rows + cols + 1):
-        cost, ops = np.full((pairs, rows + 1), far, np.int32), np.zeros((pairs, rows + 1), np.int64)
-        if d <= cols:
-            cost[:, 0], ops[:, 0] = d, d * _INS
-        if d <= rows:
-            cost[:, d], ops[:, d] = d, d * _DEL
+    for d in range(int(total[-1]) + 1 if pairs else 0):
+        c, o = cost[d % 3], ops[d % 3]
+        c1, o1, c2, o2 = cost[(d - 1) % 3], ops[(d - 1) % 3], cost[(d - 2) % 3], ops[(d - 2) % 3]
         lo, hi = max(1, d - cols), min(rows, d - 1)
         if lo <= hi:
-            i = np.arange(lo, hi + 1)
-            same = ref[:, i - 1] == hyp[:, d - i - 1]
-            sub_c, sub_o = older[0][:, i - 1], older[1][:, i - 1]
-            del_c, del_o = old[0][:, i - 1], old[1][:, i - 1]
-            ins_c, ins_o = old[0][:, i], old[1][:, i]
-            sub = (sub_c <= del_c) & (sub_c <= ins_c)
-            dele = ~sub & (del_c <= ins_c)
-            cost[:, lo : hi + 1] = np.where(same, sub_c, np.where(sub, sub_c, np.where(dele, del_c, ins_c)) + 1)
-            ops[:, lo : hi + 1] = np.where(same, sub_o, np.where(sub, sub_o + 1, np.where(dele, del_o + _DEL, ins_o + _INS)))
-        done = np.flatnonzero(n + m == d)
-        out[done] = ops[done, n[done]]
-        older, old = old, (cost, ops)
+            here, up = slice(lo, hi + 1), slice(lo - 1, hi)
+            same = ref[up] == back[cols - d + lo : cols - d + hi + 1]
+            dele = c1[up] <= c1[here]
+            other = np.where(dele, c1[up], c1[here])
+            sub = c2[up] <= other
+            sub |= same
+            best = np.where(sub, c2[up], other)
+            best += ~same
+            moved = np.where(dele, o1[up] + _DEL, o1[here] + _INS)
+            np.copyto(moved, o2[up] + ~same, where=sub)
+            c[here], o[here] = best, moved
+        if d <= cols:
+            c[0], o[0] = d, d * _INS
+        if d <= rows:
+            c[d], o[d] = d, d * _DEL
+        if d in ends:
+            out[ends[d]] = o[n[ends[d]], ends[d]]
     return out
 
 

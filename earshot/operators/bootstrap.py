@@ -10,6 +10,7 @@ Exact: the draws of Python's Mersenne Twister, a pandas group for each cell.
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,12 @@ def bootstrap_native(rows: DataFrame, by: list[str], order: str, errors: str = "
     spark = rows.sparkSession
     cell = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(errors).cast("long").alias("e"), F.col(reference).cast("long").alias("r")))), lambda x: F.struct(x["e"], x["r"]))
     packed = rows.groupBy(*by).agg(cell.alias("_u")).withColumn("n", F.size("_u"))
-    deal = spark.range(resamples).select(F.col("id").alias("_b"))  # a fixed number of rows
-    # draws are exploded beside the cell's array and summed again at once, all in generated code; no draw is shuffled
-    drawn = packed.crossJoin(F.broadcast(deal)).select(*by, "n", "_b", "_u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("_k"))
+    # a cell's array goes to a fixed number of tasks, each with some of the resamples; draws are exploded beside it and
+    # summed again at once, all in generated code, so no draw is shuffled
+    shares = min(32, resamples)
+    dealt = packed.crossJoin(F.broadcast(spark.range(shares).withColumnRenamed("id", "_share"))).repartition(shares, *by, "_share")
+    some = dealt.select(*by, "n", "_u", F.explode(F.sequence(F.col("_share"), F.lit(resamples - 1).cast("long"), F.lit(shares).cast("long"))).alias("_b"))
+    drawn = some.select(*by, "n", "_b", "_u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("_k"))
     pick = F.element_at("_u", (draw(F.col("_b"), F.col("_k"), F.col("n").cast("long")) + 1).cast("int"))
     sums = drawn.groupBy(*by, "n", "_b").agg(F.sum(pick["e"]).alias("_e"), F.sum(pick["r"]).alias("_r"))
     sampled = sums.groupBy(*by, "n").agg(F.array_sort(F.collect_list(rate(F.col("_e"), F.col("_r")))).alias("_r"))
@@ -50,13 +54,30 @@ def bootstrap_native(rows: DataFrame, by: list[str], order: str, errors: str = "
     return sampled.select(*by, "n", F.element_at("_r", lo + 1).alias("lo"), F.element_at("_r", hi + 1).alias("hi"))
 
 
+@lru_cache(2)
+def twister_draws(n: int, resamples: int, seed: int) -> np.ndarray:
+    """What random.Random(seed).randrange(n) gives, a row for each resample; made in bulk from the generator's raw words.
+
+    A draw is the leading bits of a word, as many as n has, and is drawn again while it is n or more.
+    """
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    need, got, shift = resamples * n, [], np.uint64(32 - n.bit_length())
+    while need > 0:
+        x = words.random_raw(2 * need + 16) >> shift
+        x = x[x < n][:need].astype(np.int32)
+        got.append(x)
+        need -= len(x)
+    return np.concatenate(got).reshape(resamples, n)
+
+
 def percentile_interval(errors: np.ndarray, reference: np.ndarray, resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float]:
     """The interval of one cell by draws of a Mersenne Twister; (0, 0) without utterances."""
     n = len(errors)
     if not n:
         return 0.0, 0.0
-    rng = random.Random(seed)
-    picks = np.array([rng.randrange(n) for _ in range(resamples * n)]).reshape(resamples, n)
+    picks = twister_draws(n, resamples, seed)
     e, r = np.asarray(errors)[picks].sum(1), np.asarray(reference)[picks].sum(1)
     with np.errstate(divide="ignore", invalid="ignore"):
         rates = np.sort(np.where(r == 0, np.where(e == 0, 0.0, np.inf), e / r))

@@ -23,6 +23,7 @@ from earshot.plans.planner import budget_cut, cost_rollup, plan_grid, transcribe
 from earshot.providers import providers_table
 from earshot.sources.manifest import conditions_table
 from earshot.sources.samples import sample_rows, voice_rows
+from earshot.sources.store import spread
 
 CONDITIONS = ["wideband_clean", "telephony_clean", "telephony_noisy"]
 SPOIL = [(2, 4, 1), (5, 12, 3), (12, 25, 8)]
@@ -35,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return _table(spark, sf_dir, "conversations").select(
+    return spread(_table(spark, sf_dir, "conversations")).select(
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("utt_ord"), F.coalesce(F.size(words), F.lit(0)).cast("long").alias("words"),
         F.concat(F.lit("a"), (F.col("conv_id") % 4).cast("string")).alias("accent"), F.concat(F.lit("b"), (F.col("turn") % 3).cast("string")).alias("age_band"), F.concat(F.lit("s"), ((F.col("conv_id") + F.col("turn")) % 2).cast("string")).alias("sex"), F.col("role").alias("domain"), "text",
     )
@@ -186,7 +187,7 @@ def event_calls(spark: SparkSession, d: str) -> DataFrame:
 def spoiled(spark: SparkSession, d: str) -> DataFrame:
     c = spark.createDataFrame([(k, *s) for k, s in enumerate(SPOIL)], "c long, dl long, sb long, ins long")
     ref = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    x = _table(spark, d, "benchmark").select("item_id", ref.alias("ref")).crossJoin(F.broadcast(c))
+    x = spread(_table(spark, d, "benchmark")).select("item_id", ref.alias("ref")).crossJoin(F.broadcast(c))
 
     def one(w: Column, k: Column) -> Column:
         h = (F.col("item_id") * 31 + k.cast("long") * 7 + F.col("c") * 13) % 100
@@ -228,7 +229,7 @@ def wer_of_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Normalisation, alignment and pooling over all turns; the hypothesis is the turn with its every seventh word reversed."""
     words = F.split("text", " ")
     said = F.array_join(F.transform(words, lambda w, k: F.when(k % 7 == 6, F.reverse(w)).otherwise(w)), " ")
-    x = _table(spark, d, "conversations").select(F.col("role").alias("provider"), F.lit("all").alias("condition"), F.col("text").alias("reference"), said.alias("hypothesis"))
+    x = spread(_table(spark, d, "conversations")).select(F.col("role").alias("provider"), F.lit("all").alias("condition"), F.col("text").alias("reference"), said.alias("hypothesis"))
     return _pooled(score(x), "provider")
 
 
@@ -242,7 +243,7 @@ def char_errors_of_benchmark(spark: SparkSession, d: str) -> DataFrame:
 
 def normalized_conversations(spark: SparkSession, d: str) -> DataFrame:
     t = normalize(F.col("text"))
-    return _table(spark, d, "conversations").select("conv_id", "turn", t.alias("normalized"), F.size(word_tokens(t)).cast("long").alias("n_words"), F.size(char_tokens(t)).cast("long").alias("n_chars"))
+    return spread(_table(spark, d, "conversations")).select("conv_id", "turn", t.alias("normalized"), F.size(word_tokens(t)).cast("long").alias("n_words"), F.size(char_tokens(t)).cast("long").alias("n_chars"))
 
 
 _STEPS = "list_filter(string_split_regex(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\s+'), lambda w: w <> '')"
@@ -277,7 +278,7 @@ _EXPECTED = ["100 and 2", "102", "114", "0 no", "hundred cats", "2300", "100", "
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return spread(_table(spark, d, "embeddings")).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 def mulaw_codes(spark: SparkSession, d: str) -> DataFrame:

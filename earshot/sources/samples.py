@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.functions.dsp import _filtered, butterworth
+from earshot.functions.dsp import filtered
 from earshot.functions.types import SAMPLES
 
 SR = 16000
@@ -31,9 +31,9 @@ def synthesize(text: str, f0: float, formants: tuple[float, ...], seed: int) ->
         count = min(25, int(np.ceil(SR / 2 / pitch)) - 1)
         voice = sum(np.sin(2 * np.pi * pitch * h * t + rng.uniform(0, 6.28)) / h**1.6 for h in range(1, count + 1))
         bands = [(max(50, c - w) * 2 / SR, min(SR / 2 - 1, c + w) * 2 / SR) for c, w in zip(formants, (80, 110, 160), strict=True)]
-        shaped = sum(_filtered(voice, butterworth(2, *b)) for b in bands)
+        shaped = sum(filtered(voice, 2, *b) for b in bands)
         if rng.random() < 0.35:
-            shaped = shaped + _filtered(rng.standard_normal(n) * 0.05, butterworth(4, 6000 / SR, None))
+            shaped = shaped + filtered(rng.standard_normal(n) * 0.05, 4, 6000 / SR, None)
         pieces.append(shaped * np.sqrt(np.hanning(n)))
         if rng.random() < 0.2:
             pieces.append(np.zeros(int(SR * rng.uniform(0.05, 0.18))))

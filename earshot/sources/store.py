@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for costly work on a table of few files; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Writes df under spark.checkpoint.dir (beside the warehouse where that is unset) and returns what reads it."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
