@@ -163,8 +163,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         total = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     h = F.xxhash64(F.col(key).cast("string"), F.lit(5))
-    order = Window.partitionBy(lang).orderBy("_h", key)
-    picked = rows.select(key, lang, h.alias("_h")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).select(key)
+    # in two steps, so that a frequent language is never ranked in one task: 64 shares first, then what they leave
+    picked = rows.select(key, lang, h.alias("_h")).withColumn("_share", F.pmod("_h", F.lit(64)))
+    for part in ([lang, "_share"], [lang]):
+        picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_h", key))).where(F.col("_r") <= per_language)
+    picked = picked.select(key)
     sample = rows.select(key, F.col(lang).alias("lang"), h.alias("h"), text).join(F.broadcast(picked.distinct()), key).select("lang", "h", text)
     got = sorted((r["lang"], r["h"], bytes(r["ids"]), bytes(r["tf"])) for r in sample.mapInArrow(_sparse, "lang string, h long, ids binary, tf binary").collect())
     langs = sorted({r[0] for r in got})
