@@ -79,3 +79,11 @@ def test_nfkc_only_touches_other_characters(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(normalize(F.col("t"), NormalizerConfig(lowercase=False))).collect()]
     assert got == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_public_names():
+    import earshot
+
+    assert all(callable(getattr(earshot, name)) for name in earshot.__all__)
+    with pytest.raises(AttributeError):
+        earshot.nothing  # noqa: B018
