@@ -351,7 +351,7 @@ def bpe_rows(docs: DataFrame, path: str, emit: Callable, schema: str, text: str
                     _made[path] = Tokenizer(vocabulary.value)
                 tok = _made[path]
             texts = batch.column(1).fill_null("")
-            for lo, hi, _ in chunks(texts, 3 << 20):
+            for lo, hi, _ in chunks(texts):
                 ids, n = tok.encode(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in (0, *range(2, len(keep) + 2))), *emit(tok, ids, n)], names=names)
 

@@ -99,7 +99,7 @@ def _all_shingles(k: int, blocks: int):
             uids = batch.column(0).to_numpy()
             for lo, hi, buf in chunks(batch.column(1)):
                 w, off = shingle_sets(buf, k)
-                if rows and (rows + buf.n > 60_000 or size + len(w) > 3_000_000):
+                if rows and (rows + buf.n > 60_000 or size + len(w) > 800_000):
                     yield from out()
                     hold, sizes, rows, size = [], [], 0, 0
                 if not rows:
