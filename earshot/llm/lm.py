@@ -1,21 +1,21 @@
-"""Language-model scoring by deleted interpolation.
-
-Tokens are words (A-Z lower-cased) and one end for each text. Words that make up at least 1/1024 of the
-training tokens are classes of their own in histories and predictions, those of at least 1/64 also in
-histories of two; all other words share one class. The probability of a token is
-
-    P(class | history) * P(word | class)
-
-with P(class | history) the mixture of the maximum-likelihood estimates of orders 1, 2 and 3, weighted by
-the frequency bucket (binary logarithm) of the longest history, and P(word | shared class) the mixture of the
-word's share in the class and a uniform share 1 / (V + 1). All weights are learned by
-expectation-maximisation on held-out counts: a tenth of the training texts is left out of the counts
-while the weights are learned (the final estimates use all training texts).
-
-At scale: counts of all words are gathered through one shuffle of packed, pre-aggregated (hash, count)
-blocks. Words of at least one millionth of the tokens (a million at most, by that definition) are
-broadcast; the others, whose keys are then never hot, are joined with their counts by a shuffle of
-blocks. Histories have at most 66 * 1026 * 1026 events, whatever the input. Words are known by 64-bit hashes.
+"""Language-model scoring by deleted interpolation of word trigrams.
+
+Tokens are words (A-Z lower-cased) and one end for each text; before a text stand two starts. The probability
+of a token is a mixture of the maximum-likelihood estimates of orders 3, 2 and 1 over all words and of a
+uniform share 1 / (V + 1). The weights depend on the longest history that the counts hold (of two words, of
+one, or none) and on the binary logarithm of its frequency; orders whose history was never met have no
+weight, so the probabilities of all V words and of the unknown word sum to 1. The weights are learned by
+expectation-maximisation on held-out counts: a tenth of the training texts is left out of the counts while
+they are learned (the final estimates use all training texts). It ends when a round adds less than 1e-6 to the
+mean log probability of a held-out token, after 50 rounds at most.
+
+At scale: texts are handled in units of about 4 MB. A unit sends its distinct words, bigrams and trigrams with
+their counts, so a hot one is sent once by each, in packed blocks by hash range (sorted keys as differences); the
+task of a range sums them and answers each unit with the sums in the order of its keys, at most a byte for most.
+The counts grow with the corpus and none of them are dropped, gathered by the driver or broadcast. The files of
+the first shuffle are given up once the answers are written. Texts meet the answers by unit. The
+count of a history is that of the word or bigram before the token, as something follows each of them. Grams are
+known by 64-bit hashes. Units are formed twice, from the same scan of docs.
 
 Defined cases: a null or empty text is a single end; repeated rows are scored each (rows are told apart by
 their place, so docs is to be a table that is read, not a shuffled result); without training texts N and V are 0, both scores are 0 per token;
@@ -24,8 +24,8 @@ further columns are ignored; a null id counts as the empty text for the training
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,419 +33,325 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, shared
-from .textbuf import Buf, chunks, mix
+from .textbuf import CHUNK_BYTES, Buf, chunks, mix
 
 END = np.uint64(0x5EED0E4D5EED0E4D)
-_FLUSH = 1 << 21
-_MILLION = 1_000_000
-BUCKETS = 40
+START = np.uint64(0x57A2757A2757A275)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+UNIT_BYTES = 4 << 20
+_SPLIT = 1 << 19
+BUCKETS = 128
+ROUNDS = 50
+
+
+def _small(buf: Buf) -> Iterator[tuple[int, Buf]]:
+    lo = 0
+    while lo < buf.n:
+        hi = max(lo + 1, int(np.searchsorted(buf.off, buf.off[lo] + CHUNK_BYTES, side="right")) - 1)
+        yield lo, Buf(buf.data[buf.off[lo] : buf.off[hi]], buf.off[lo : hi + 1] - buf.off[lo])
+        lo = hi
 
 
 def tokens(buf: Buf) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with each text's end, and text numbers."""
+    if buf.n > 1 and len(buf.data) > CHUNK_BYTES:
+        parts = [(lo, *tokens(part)) for lo, part in _small(buf)]
+        return np.concatenate([h for _, h, _ in parts]), np.concatenate([lo + doc for lo, _, doc in parts])
     s, e, doc = buf.words()
     h = buf.hashes(s, e, lower=True)
     at = np.searchsorted(doc, np.arange(buf.n), side="right")  # a text's end goes after its words
     return np.insert(h, at, END), np.insert(doc, at, np.arange(buf.n))
 
 
-def merge(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums each of the values by key."""
-    if not keys:
-        return np.zeros(0, np.uint64), [np.zeros(0, np.int64) for _ in values]
-    k = np.concatenate(keys)
-    order = np.argsort(k)
-    k = k[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    out = [np.add.reduceat(np.concatenate(v)[order], first) if len(k) else np.concatenate(v) for v in values]
-    return k[first], out
-
-
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Blocks by the high bits of the hash, in the order of the keys."""
     return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
-class _Counter:
-    """Sums counts by key within a task, in bounded memory: what is over is sent on."""
+def grams(h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For orders 1 to 3 the distinct grams, sorted, and which of them ends at each token."""
+    yield np.unique(h, return_inverse=True)
+    new = np.append(True, doc[1:] != doc[:-1])
+    v = np.roll(h, 1)
+    v[new] = START
+    two = mix(v * _ODD + h)
+    del v
+    yield np.unique(two, return_inverse=True)
+    before = np.roll(two, 1)
+    before[new] = mix(np.array([START]) * _ODD + START)[0]
+    del two
+    yield np.unique(mix(before * _ODD + h), return_inverse=True)
 
-    def __init__(self, width: int):
-        self.keys: list[np.ndarray] = []
-        self.values: list[list[np.ndarray]] = [[] for _ in range(width)]
-        self.size = 0
 
-    def add(self, keys: np.ndarray, *values: np.ndarray) -> bool:
-        self.keys.append(keys)
-        for v, x in zip(self.values, values, strict=True):
-            v.append(x)
-        self.size += len(keys)
-        if self.size > 2 * _FLUSH:
-            self.compact()
-        return self.size > _FLUSH
+def pack(x: np.ndarray) -> bytes:
+    """Counts in a byte each, compressed; those of 255 and more follow."""
+    return zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes(), 1)
 
-    def compact(self) -> None:
-        k, v = merge(self.keys, self.values)
-        self.keys, self.values, self.size = [k], [[x] for x in v], len(k)
 
-    def take(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        self.compact()
-        k, v = self.keys[0], [x[0] for x in self.values]
-        self.__init__(len(v))
-        return k, v
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    x = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    big = np.frombuffer(raw[n:], np.int64)
+    if len(x) != n or np.count_nonzero(x == 255) != len(big):
+        raise ValueError("counts don't fit their keys")
+    x[x == 255] = big
+    return x
 
 
-def _blocks(keys: np.ndarray, values: list[np.ndarray], n: int) -> list[tuple[int, bytes, list[bytes]]]:
-    b = bucket_of(keys, n)
-    cut = np.searchsorted(b, np.arange(n + 1))
-    return [(k, keys[x:y].tobytes(), [v[x:y].tobytes() for v in values]) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+def pack_keys(k: np.ndarray) -> bytes:
+    """Sorted keys as differences of the width that takes least; those that need more follow in full."""
+    if not len(k):
+        return b""
+    d = np.diff(k, prepend=np.uint64(0))
+    w = min((5, 6, 7), key=lambda w: len(d) * w + 8 * np.count_nonzero(d >= np.uint64(256**w - 1)))
+    top = np.uint64(256**w - 1)
+    low = np.minimum(d, top).view(np.uint8).reshape(-1, 8)[:, :w]
+    return bytes([w]) + len(d).to_bytes(7, "little") + low.tobytes() + d[d >= top].tobytes()
 
 
-_COUNTS = "bucket int, keys binary, a binary, b binary"
+def unpack_keys(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    w, n = raw[0], int.from_bytes(raw[1:8], "little")
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :w] = np.frombuffer(raw[8 : 8 + n * w], np.uint8).reshape(n, w)
+    d = full.view(np.uint64).ravel()
+    d[d == np.uint64(256**w - 1)] = np.frombuffer(raw[8 + n * w :], np.uint64)
+    return np.cumsum(d, dtype=np.uint64)
 
 
-def _count_words(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _Counter(2)
+def _parts(kind: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+    """The texts of a unit that are left out of the counts while weights are learned, and the others."""
+    for left in (False, True):
+        rows = np.flatnonzero((kind == 2) == left)
+        if len(rows):
+            yield left, rows
 
-        def out():
-            k, (a, b) = c.take()
-            rows = _blocks(k, [a.astype(np.uint32), b.astype(np.uint32)], blocks)
-            for lo in range(0, len(rows), 64):
-                part = rows[lo : lo + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2][0] for r in part], pa.binary()), pa.array([r[2][1] for r in part], pa.binary())], names=["bucket", "keys", "a", "b"])
 
-        for batch in batches:
-            left = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf in chunks(batch.column(0)):
-                h, doc = tokens(buf)
-                u, back = np.unique(h, return_inverse=True)
-                b = np.bincount(back, weights=left[lo:hi][doc], minlength=len(u)).astype(np.int64)
-                if c.add(u, np.bincount(back, minlength=len(u)) - b, b):
-                    yield from out()
-        if c.size:
-            yield from out()
+def _pick(buf: Buf, rows: np.ndarray) -> Buf:
+    off = np.append(0, np.cumsum(buf.off[rows + 1] - buf.off[rows]))
+    return Buf(np.concatenate([buf.data[buf.off[k] : buf.off[k + 1]] for k in rows]), off)
 
-    return run
 
+_KEYS = "bucket int, unit long, left boolean, " + ", ".join(f"k{j} binary" for j in range(3)) + ", " + ", ".join(f"m{j} binary" for j in range(3))
+_SUMS = "unit long, left boolean, bucket int, " + ", ".join(f"x{j} binary" for j in range(6))
+_STATS = ("n", "v", "texts", "n_kept", "texts_kept")
 
-def _read_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for b, k, x, y in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-        yield b, np.frombuffer(k, np.uint64), np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[t]) for j, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
-def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, _Counter] = {}
-    for batch in batches:
-        for b, k, x, y in _read_blocks(batch):
-            found.setdefault(b, _Counter(2)).add(k, x.astype(np.int64), y.astype(np.int64))
-    for b, c in sorted(found.items()):
-        k, (x, y) = c.take()
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([x.astype(np.uint32).tobytes()], pa.binary()), pa.array([y.astype(np.uint32).tobytes()], pa.binary()), pa.array([int(x.sum() + y.sum())], pa.int64()), pa.array([len(k)], pa.int64())], names=["bucket", "keys", "a", "b", "n", "v"])
 
+def _cuts(keys: np.ndarray, blocks: int, first: int = 0, n: int | None = None) -> np.ndarray:
+    """Where the blocks from the first on begin in sorted keys."""
+    return np.searchsorted(bucket_of(keys, blocks), np.arange(first, first + (blocks if n is None else n) + 1))
 
-def _frequent(least: int):
+
+def _send_grams(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, k, x, y in _read_blocks(batch):
-                c = x.astype(np.int64) + y
-                m = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k[m].tobytes()], pa.binary()), pa.array([x[m].tobytes()], pa.binary()), pa.array([y[m].tobytes()], pa.binary())], names=["bucket", "keys", "a", "b"])
+            uids, kinds = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi, buf in chunks(batch.column(1), UNIT_BYTES):
+                kind = kinds[lo:hi]
+                for left, rows in _parts(kind):
+                    h, doc = tokens(_pick(buf, rows))
+                    weight = (kind[rows] > 0).astype(float)[doc]
+                    keys, counts = [], []
+                    for u, back in grams(h, doc):
+                        m = np.bincount(back, weights=weight, minlength=len(u)).astype(np.int64)
+                        cut = _cuts(u, blocks)
+                        at = [slice(x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                        keys.append([pack_keys(u[x]) for x in at])
+                        counts.append([pack(m[x]) for x in at])
+                    out = [(b, int(uids[lo]), left, *(k[b] for k in keys), *(m[b] for m in counts)) for b in range(blocks) if any(k[b] for k in keys)]
+                    for k in range(0, len(out), 64):
+                        yield _batch(out[k : k + 64], _KEYS)
 
     return run
 
 
-def _rare_histogram(least: int):
-    """Held-out tokens of the shared class by their count in the other part (0 to 63; larger in powers of two)."""
+def _answer(blocks: int):
+    """Sums the counts of each block and answers each unit; x0 to x2 are all counts, x3 to x5 those without the texts left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, mass = np.zeros(128, np.int64), np.zeros(128, np.int64), 0
+        wait: dict[int, list[tuple]] = {}
         for batch in batches:
-            for _, k, x, y in _read_blocks(batch):
-                m = (x.astype(np.int64) + y < least) & (k != END)
-                a, b = x[m].astype(np.int64), y[m].astype(np.int64)
-                k = np.where(a < 64, a, 58 + np.log2(np.maximum(a, 1)).astype(np.int64))
-                seen += np.bincount(k, weights=b, minlength=128).astype(np.int64)
-                total += np.bincount(k, weights=a * b, minlength=128).astype(np.int64)
-                mass += int(a.sum())
-        k = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(seen[k], pa.int64()), pa.array(total[k], pa.int64()), pa.array([mass] + [0] * (len(k) - 1) if len(k) else [], pa.int64())], names=["k", "held", "weighted", "mass"])
-        if not len(k) and mass:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([mass], pa.int64())], names=["k", "held", "weighted", "mass"])
+            for r in zip(*(batch.column(j).to_pylist() for j in range(9)), strict=True):
+                wait.setdefault(r[0], []).append(r[1:])
+        while wait:
+            bucket, asked = wait.popitem()
+            left = np.array([r[1] for r in asked])
+            answers: list[list[bytes]] = [[b""] * 6 for _ in asked]
+            stats = np.zeros(5, np.int64)
+            for j in range(3):
+                keys = [unpack_keys(r[2 + j]) for r in asked]
+                m = [unpack(r[5 + j], len(k)) for r, k in zip(asked, keys, strict=True)]
+                parts = 1 + sum(map(len, keys)) // _SPLIT  # large blocks are summed by parts of their range
+                cuts = [_cuts(k, blocks * parts, bucket * parts, parts) if parts > 1 else [0, len(k)] for k in keys]
+                counts: list[list[np.ndarray]] = [[] for _ in asked]
+                kept: list[list[np.ndarray]] = [[] for _ in asked]
+                for p in range(parts):
+                    at = [slice(c[p], c[p + 1]) for c in cuts]
+                    size = [x.stop - x.start for x in at]
+                    u, back = np.unique(np.concatenate([k[x] for k, x in zip(keys, at, strict=True)]), return_inverse=True)
+                    w = np.concatenate([y[x] for y, x in zip(m, at, strict=True)])
+                    c = np.bincount(back, weights=w, minlength=len(u)).astype(np.int64)
+                    a = c - np.bincount(back, weights=w * np.repeat(left, size), minlength=len(u)).astype(np.int64)
+                    if j == 0:
+                        end = u == END
+                        stats += [c.sum(), (c > 0).sum(), c[end].sum(), a.sum(), a[end].sum()]
+                    hi = 0
+                    for k in range(len(asked)):
+                        lo, hi = hi, hi + size[k]
+                        counts[k].append(c[back[lo:hi]])
+                        if left[k]:
+                            kept[k].append(a[back[lo:hi]])
+                for k, out in enumerate(answers):
+                    out[j] = pack(np.concatenate(counts[k]))
+                    if left[k]:
+                        out[3 + j] = pack(np.concatenate(kept[k]))
+            schema = _SUMS + "".join(f", {x} long" for x in _STATS)
+            for lo in range(0, len(asked), 64):
+                yield _batch([(r[0], r[1], bucket, *x, *(stats.tolist() if lo + k == 0 else [0] * 5)) for k, (r, x) in enumerate(zip(asked[lo : lo + 64], answers[lo : lo + 64], strict=True))], schema)
 
     return run
 
 
-@dataclass
-class Vocabulary:
-    """Frequent words: sorted hashes, counts, and class numbers for histories of one and of two (0: shared)."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    two: np.ndarray
-    three: np.ndarray
-    n: int
-    v: int
-
-    @property
-    def k2(self) -> int:
-        return int(self.two.max(initial=0)) + 2  # the last number is the place before a text
-
-    @property
-    def k3(self) -> int:
-        return int(self.three.max(initial=0)) + 2
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places in keys, -1 for words that aren't frequent."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
-
-    def history(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Class of each token (for orders 2 and 3), of the token before (2, 3) and of the one before that (3)."""
-        w2 = np.where(at >= 0, self.two[at] if len(self.two) else 0, 0)
-        w3 = np.where(at >= 0, self.three[at] if len(self.three) else 0, 0)
-        new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
-        v2, v3 = np.roll(w2, 1), np.roll(w3, 1)
-        v2[new], v3[new] = self.k2 - 1, self.k3 - 1
-        u3 = np.roll(v3, 1)
-        u3[new] = self.k3 - 1
-        return w2, w3, v2, v3, u3
-
-
-def _count_histories(vocabulary, blocks: int):
+def _send_texts(only_left: bool):
+    """Rows of bucket -1: places of the texts, their offsets and their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary.value
-        c = _Counter(2)
         for batch in batches:
-            left = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf in chunks(batch.column(0)):
-                h, doc = tokens(buf)
-                w2, _, v2, _, u3 = voc.history(voc.find(h), doc)
-                x = ((u3.astype(np.uint64) * np.uint64(voc.k2) + v2.astype(np.uint64)) * np.uint64(voc.k2)) + w2.astype(np.uint64)
-                u, back = np.unique(x, return_inverse=True)
-                b = np.bincount(back, weights=left[lo:hi][doc], minlength=len(u)).astype(np.int64)
-                c.add(u, np.bincount(back, minlength=len(u)) - b, b)
-        if c.size:
-            k, (a, b) = c.take()
-            of = (mix(k) % np.uint64(blocks)).astype(np.int64)
-            for j in np.unique(of):
-                m = of == j
-                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([k[m].tobytes()], pa.binary()), pa.array([a[m].astype(np.uint32).tobytes()], pa.binary()), pa.array([b[m].astype(np.uint32).tobytes()], pa.binary())], names=["bucket", "keys", "a", "b"])
+            uids, kinds = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi, buf in chunks(batch.column(1), UNIT_BYTES):
+                for left, rows in _parts(kinds[lo:hi]):
+                    if left or not only_left:
+                        part = _pick(buf, rows)
+                        yield _batch([(int(uids[lo]), left, -1, uids[lo:hi][rows].tobytes(), part.off.tobytes(), part.data.tobytes(), b"", b"", b"")], _SUMS)
 
     return run
 
 
-class Mixture:
-    """P(class | history): the estimates of three orders and their weights by frequency of the longest history."""
-
-    def __init__(self, voc: Vocabulary, events: np.ndarray, a: np.ndarray, b: np.ndarray):
-        k2, k3 = voc.k2, voc.k3
-        self.k2, self.k3 = k2, k3
-        self.to3 = np.zeros(k2, np.int64)
-        self.to3[voc.two] = voc.three if len(voc.two) else 0
-        self.to3[k2 - 1] = k3 - 1
-        e = events.astype(np.int64)
-        w, v, u = e % k2, e // k2 % k2, e // (k2 * k2)
-        p1, p2, p3, freq = self._tables(u, v, w, a)
-        self.weights = np.full((BUCKETS, 3), 1 / 3)
-        held = b > 0
-        u, v, w, c = u[held], v[held], w[held], b[held].astype(float)
-        bucket = freq[u, self.to3[v]]
-        parts = np.stack([p1[w], p2[v, w], p3[u, self.to3[v], self.to3[w]] * self._share(p1)[w]], 1)
-        for _ in range(50):
-            r = parts * self.weights[bucket]
-            s = r.sum(1)
-            ok = s > 0
-            r = r[ok] / s[ok, None] * c[ok, None]
-            new = np.stack([np.bincount(bucket[ok], weights=r[:, j], minlength=BUCKETS) for j in range(3)], 1) + 1e-3
-            self.weights = new / new.sum(1, keepdims=True)
-        # with a floor for classes never met after a history, the order 1 never gets nothing
-        self.weights = self.weights * (1 - 1e-4) + np.array([1e-4, 0, 0])
-        self.p1, self.p2, p3, self.freq = self._tables(e // (k2 * k2), e // k2 % k2, e % k2, a + b)
-        self.p3 = p3
-        self.share = self._share(self.p1)
-
-    def _share(self, p1: np.ndarray) -> np.ndarray:
-        """The share of each class of order 2 in its class of order 3."""
-        total = np.bincount(self.to3, weights=p1, minlength=self.k3)[self.to3]
-        return np.divide(p1, total, out=np.zeros_like(p1), where=total > 0)
-
-    def _tables(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray):
-        k2, k3, c = self.k2, self.k3, c.astype(float)
-        one = np.bincount(w, weights=c, minlength=k2)
-        two = np.bincount(v * k2 + w, weights=c, minlength=k2 * k2).reshape(k2, k2)
-        three = np.bincount((u * k3 + self.to3[v]) * k3 + self.to3[w], weights=c, minlength=k3**3).reshape(k3, k3, k3)
-        part = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros(x.shape), where=x.sum(-1, keepdims=True) > 0)
-        freq = np.minimum(np.log2(three.sum(2) + 1).astype(np.int64), BUCKETS - 1)
-        return part(one), part(two), part(three), freq
-
-    def p(self, w2, w3, v2, v3, u3) -> np.ndarray:
-        lam = self.weights[self.freq[u3, v3]]
-        return lam[:, 0] * self.p1[w2] + lam[:, 1] * self.p2[v2, w2] + lam[:, 2] * self.p3[u3, v3, w3] * self.share[w2]
-
-
-def _split(held: np.ndarray, weighted: np.ndarray, mass: float, v: int) -> tuple[float, float]:
-    """Weights of a word's share in the shared class and of 1 / (v + 1), by expectation-maximisation on the histogram."""
-    c = np.divide(weighted, held, out=np.zeros(len(held)), where=held > 0)
-    share, flat, m = c / max(mass, 1.0), 1 / (v + 1), 0.9
-    for _ in range(100):
-        r = m * share / (m * share + (1 - m) * flat)
-        m = float((held * r).sum() + 1e-3) / float(held.sum() + 2e-3)
-    return m, 1 - m
-
-
-def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, frequent: float = 1e-6, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _meet(batches: Iterator[pa.RecordBatch], blocks: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each unit the places of its texts, each token's text, the first tokens, and counts of orders 1 to 3 from column x[first] on."""
+    texts: dict[tuple, tuple] = {}
+    sums: dict[tuple, dict[int, tuple]] = {}
+    for batch in batches:
+        for r in zip(*(batch.column(j).to_pylist() for j in range(9)), strict=True):
+            if r[2] < 0:
+                texts[r[:2]] = r[3:6]
+            else:
+                sums.setdefault(r[:2], {})[r[2]] = r[3 + first : 6 + first]
+    if texts.keys() != sums.keys():
+        raise ValueError("units of texts and of counts differ")
+    while texts:
+        unit, (uid, off, data) = texts.popitem()
+        got = sums.pop(unit)
+        h, doc = tokens(Buf(np.frombuffer(data, np.uint8), np.frombuffer(off, np.int64)))
+        new = np.append(True, doc[1:] != doc[:-1])
+        counts = []
+        for j, (u, back) in enumerate(grams(h, doc)):
+            size = np.diff(_cuts(u, blocks))
+            counts.append(np.concatenate([unpack(got[b][j], int(size[b])) for b in np.flatnonzero(size)])[back])
+        yield np.frombuffer(uid, np.int64), doc, new, counts
+
+
+def estimates(counts: list[np.ndarray], new: np.ndarray, texts: int, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights' bucket of each token and its estimates of orders 3, 2, 1 and 0."""
+    one, two, three = counts
+    h1, h2 = (np.where(new, texts, np.roll(x, 1)) for x in (one, two))  # something follows every word and bigram
+    log = lambda x: np.log2(np.maximum(x, 1)).astype(np.int64)
+    bucket = np.where(h2 > 0, BUCKETS // 2 + log(h2), np.where(h1 > 0, 1 + log(h1), 0))
+    return bucket, np.stack([three / np.maximum(h2, 1), two / np.maximum(h1, 1), one / max(n, 1), np.full(len(one), 1 / (v + 1))], 1)
+
+
+def learn_weights(events: DataFrame, v: int) -> np.ndarray:
+    """Weights of orders 3, 2, 1 and 0 by bucket; an order whose history was never met has none."""
+    met = np.ones((BUCKETS, 4))
+    met[: BUCKETS // 2, 0] = 0
+    met[0, 1] = 0
+    weights, last = met / met.sum(1, keepdims=True), -np.inf
+
+    def expect(w: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, gain = np.zeros((BUCKETS, 4)), 0.0
+            for batch in batches:
+                for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    bucket = np.frombuffer(b, np.uint8)
+                    r = np.append(np.frombuffer(p, np.float32).reshape(-1, 3), np.full((len(bucket), 1), 1 / (v + 1)), 1) * w[bucket]
+                    s = r.sum(1)
+                    gain += float(np.log(s).sum())
+                    r /= s[:, None]
+                    total += np.stack([np.bincount(bucket, weights=r[:, j], minlength=BUCKETS) for j in range(4)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([gain])], names=["r", "gain"])
+
+        return run
+
+    tasks = 2 * events.sparkSession.sparkContext.defaultParallelism
+    for _ in range(ROUNDS):
+        rows = events.coalesce(tasks).mapInArrow(expect(weights), "r binary, gain double").collect()
+        total = sum((np.frombuffer(r["r"], float).reshape(BUCKETS, 4) for r in rows), np.zeros((BUCKETS, 4)))
+        new = total + 1e-3 * met
+        weights = new / new.sum(1, keepdims=True)
+        gain = sum(r["gain"] for r in rows) / max(total.sum(), 1)
+        if gain - last < 1e-6:
+            break
+        last = gain
+    # with a floor, so that a word never met always has a positive probability
+    return weights * (1 - 1e-4) + np.array([0, 0, 0, 1e-4])
+
+
+def _release(written: DataFrame) -> None:
+    """Gives up the shuffle files of what has been written (with adaptive execution; else Spark's cleaner does so later)."""
+    plan, cleaner = written._jdf.queryExecution().executedPlan(), written.sparkSession.sparkContext._jsc.sc().cleaner()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and cleaner.isDefined():
+        for k in list(plan.context().shuffleIds().keySet().toArray()):
+            cleaner.get().doCleanupShuffle(k, True)
+
+
+def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score of every row of docs.
 
     key is of an integer kind.
     """
     spark: SparkSession = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    learn = docs.where(crc_mod(key, held_mod) != held_rest).select(text, F.when(F.abs(F.xxhash64(F.coalesce(F.col(key), F.lit(0)).cast("string"), F.lit(3))) % 10 == 0, 1.0).otherwise(0.0).alias("left"))
-    words = shared(learn.mapInArrow(_count_words(blocks), _COUNTS).repartition(blocks, "bucket").mapInArrow(_sum_words, _COUNTS + ", n long, v long"), spark)
-    total = words.agg(F.sum("n"), F.sum("v")).first()
-    n, v = total[0] or 0, total[1] or 0
-
-    def gather(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)) for r in rows]
-        if not got:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k, x, y = (np.concatenate([g[j] for g in got]) for j in range(3))
-        order = np.argsort(k)
-        return k[order], x[order].astype(np.int64), y[order].astype(np.int64)
-
-    # at most 1 / frequent words, by the definition of the bound
-    k, x, y = gather(words.select("bucket", "keys", "a", "b").mapInArrow(_frequent(max(1, int(np.ceil(frequent * n)))), _COUNTS).collect())
-    c = x + y
-    special = c * 1024 >= n
-    special[k == END] = True
-    two = np.where(special, np.cumsum(special), 0)
-    top = (c * 64 >= n) & special
-    voc = Vocabulary(k, c, two, np.where(top, np.cumsum(top), 0), n, v)
-    sent = spark.sparkContext.broadcast(voc)
-    # at most 66 * 1026 * 1026 events
-    ek, ea, eb = gather(learn.mapInArrow(_count_histories(sent, 16), _COUNTS).repartition(16, "bucket").mapInArrow(_sum_words, _COUNTS + ", n long, v long").select("keys", "a", "b").collect())
-    mixture = Mixture(voc, ek, ea, eb)
-    least = max(1, -(-n // 1024))  # from this count on a word is a class of its own
-    rows = words.select("bucket", "keys", "a", "b").mapInArrow(_rare_histogram(least), "k int, held long, weighted long, mass long").groupBy("k").agg(F.sum("held").alias("held"), F.sum("weighted").alias("weighted"), F.sum("mass").alias("mass")).collect()
-    own, flat = _split(np.array([r["held"] for r in rows], float), np.array([r["weighted"] for r in rows], float), float(sum(r["mass"] for r in rows)), v)
-    rest = n - int(c[special].sum())  # tokens of the shared class
-
-    model = spark.sparkContext.broadcast(mixture)
-
-    def base(cnt: np.ndarray) -> np.ndarray:
-        return np.log10((cnt + 1) / (n + v + 1))
-
-    def inner(cnt: np.ndarray) -> np.ndarray:
-        return np.log10(own * cnt / max(rest, 1) + flat / (v + 1))
-
-    schema = "bucket int, kind int, keys binary, a binary, b binary, c binary, d binary"
-    names = ["bucket", "kind", "keys", "a", "b", "c", "d"]
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
-
-    def by_row(uid: np.ndarray, cols: list[np.ndarray], kind: int) -> pa.RecordBatch | None:
-        of = (mix(uid.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(blocks + 1))
-        rows = []
-        for j in range(blocks):
-            at = order[cut[j] : cut[j + 1]]
-            if len(at):
-                rows.append((j, kind, uid[at].tobytes(), *(x[at].tobytes() for x in cols)))
-        return pack(rows) if rows else None
+    placed = docs.select(F.monotonically_increasing_id().alias("_uid"), key, text)
+    left = F.abs(F.xxhash64(F.coalesce(F.col(key), F.lit(0)).cast("string"), F.lit(3))) % 10 == 0
+    units = placed.select("_uid", text, F.when(crc_mod(key, held_mod) == held_rest, 0).when(left, 2).otherwise(1).alias("kind"))
+    counted = units.mapInArrow(_send_grams(blocks), _KEYS).repartition(blocks, "bucket").mapInArrow(_answer(blocks), _SUMS + "".join(f", {x} long" for x in _STATS))
+    answers = shared(counted, spark)
+    _release(counted)
+    n, v, n_texts, n_kept, kept_texts = (x or 0 for x in answers.agg(*(F.sum(x) for x in _STATS)).first())
+
+    def met(only_left: bool) -> DataFrame:
+        got = (answers.where("left") if only_left else answers).drop(*_STATS)
+        return units.mapInArrow(_send_texts(only_left), _SUMS).union(got).repartition(blocks, "unit", "left")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, new, counts in _meet(batches, blocks, 3):
+            bucket, p = estimates(counts, new, kept_texts, n_kept, v)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket.astype(np.uint8).tobytes()], pa.binary()), pa.array([p[:, :3].astype(np.float32).tobytes()], pa.binary())], names=["bucket", "p"])
+
+    weights = np.zeros((BUCKETS, 4))
+    if n:
+        told = met(True).mapInArrow(held, "bucket binary, p binary")
+        weights = learn_weights(shared(told, spark), v)
+        _release(told)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 1: sums over the tokens that need no join, by row. Kind 2: words to join, by hash."""
-        voc, mixture = sent.value, model.value
-        hold: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush():
-            h, uid, cnt = (np.concatenate([x[j] for x in hold]) for j in range(3))
-            order = np.argsort(h)
-            yield pack([(b, 2, k, u, m, b"", b"") for b, k, (u, m) in _blocks(h[order], [uid[order], cnt[order]], blocks)])
-
-        for batch in batches:
-            uids = batch.column(0).to_numpy()
-            for lo, hi, buf in chunks(batch.column(1)):
-                h, doc = tokens(buf)
-                uid = uids[lo:hi]
-                at = voc.find(h)
-                if n:
-                    q = np.log10(mixture.p(*voc.history(at, doc)))
-                    known = at >= 0
-                    cnt = voc.counts[at[known]]
-                    alone = voc.two[at[known]] > 0
-                    q[known] += np.where(alone, 0.0, inner(cnt))
-                    s1 = np.bincount(doc[known], weights=base(cnt), minlength=buf.n)
-                    s2 = np.bincount(doc, weights=q, minlength=buf.n)
-                    sure = np.bincount(doc[known], minlength=buf.n)
-                else:
-                    known = np.ones(len(h), bool)
-                    s1, s2, sure = np.zeros(buf.n), np.zeros(buf.n), np.zeros(buf.n, np.int64)
-                size_of = np.bincount(doc, minlength=buf.n)
-                if (out := by_row(uid, [s1, s2, sure.astype(np.int32), size_of.astype(np.int32)], 1)) is not None:
-                    yield out
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    # equal words of a text go as one
-                    x = np.lexsort((h[rare], doc[rare]))
-                    hr, dr = h[rare][x], doc[rare][x]
-                    first = np.flatnonzero(np.append(True, (hr[1:] != hr[:-1]) | (dr[1:] != dr[:-1])))
-                    hold.append((hr[first], uid[dr[first]], np.diff(np.append(first, len(hr))).astype(np.uint32)))
-                    size += len(first)
-                    if size > _FLUSH // 2:
-                        yield from flush()
-                        hold, size = [], 0
-        if size:
-            yield from flush()
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0 is the table of words; turns kind 2 into sums by row (kind 1), and passes kind 1 on."""
-        table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        wait: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            other = batch.filter(pa.compute.equal(batch.column(1), 1))
-            if len(other):
-                yield other
-            for r in batch.filter(pa.compute.not_equal(batch.column(1), 1)).to_pylist():
-                k = np.frombuffer(r["keys"], np.uint64)
-                if r["kind"] == 0:
-                    table[r["bucket"]] = k, np.frombuffer(r["a"], np.uint32).astype(np.int64) + np.frombuffer(r["b"], np.uint32)
-                else:
-                    wait.setdefault(r["bucket"], []).append((k, np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.uint32)))
-        for b, parts in wait.items():
-            k, c = table.get(b, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            sums = _Counter(3)
-            for h, uid, m in parts:
-                cnt = np.zeros(len(h), np.int64)
-                if len(k):
-                    at = np.minimum(np.searchsorted(k, h), len(k) - 1)
-                    cnt = np.where(k[at] == h, c[at], 0)
-                sums.add(uid.astype(np.uint64), base(cnt) * m, inner(cnt) * m, np.where(cnt > 0, m, 0).astype(np.int64))
-            uid, (s1, s2, sure) = sums.take()
-            if (out := by_row(uid.astype(np.int64), [s1, s2, sure.astype(np.int32), np.zeros(len(uid), np.int32)], 1)) is not None:
-                yield out
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Counter(4)
-        for batch in batches:
-            for r in batch.to_pylist():
-                sums.add(np.frombuffer(r["keys"], np.int64).astype(np.uint64), np.frombuffer(r["a"], float), np.frombuffer(r["b"], float), np.frombuffer(r["c"], np.int32).astype(np.int64), np.frombuffer(r["d"], np.int32).astype(np.int64))
-        uid, (s1, s2, sure, size_of) = sums.take()
-        for lo in range(0, len(uid), 10_000):
-            p = slice(lo, lo + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[p].astype(np.int64)), pa.array(size_of[p]), pa.array(sure[p]), pa.array(s1[p]), pa.array(s2[p])], names=["_uid", "n_tokens", "n_known", "base_score", "score"])
-
-    placed = docs.select(F.monotonically_increasing_id().alias("_uid"), key, text)
-    none = F.lit(None).cast("binary")
-    table = words.select("bucket", F.lit(0).alias("kind"), "keys", "a", "b", none.alias("c"), none.alias("d"))
-    asked = placed.select("_uid", text).mapInArrow(score, schema)
-    joined = asked.union(table).repartition(blocks, "bucket").mapInArrow(join, schema)
-    result = joined.repartition(blocks, "bucket").mapInArrow(finish, "_uid long, n_tokens long, n_known long, base_score double, score double")
+        for uid, doc, new, counts in _meet(batches, blocks, 0):
+            size = np.bincount(doc, minlength=len(uid))
+            known, s1, s2 = np.zeros(len(uid), np.int64), np.zeros(len(uid)), np.zeros(len(uid))
+            if n:
+                bucket, p = estimates(counts, new, n_texts, n, v)
+                known = np.bincount(doc[counts[0] > 0], minlength=len(uid))
+                s1 = np.bincount(doc, weights=np.log10((counts[0] + 1) / (n + v + 1)), minlength=len(uid))
+                s2 = np.bincount(doc, weights=np.log10((p * weights[bucket]).sum(1)), minlength=len(uid))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, size, known, s1, s2)], names=["_uid", "n_tokens", "n_known", "base_score", "score"])
+
+    result = met(False).mapInArrow(score, "_uid long, n_tokens long, n_known long, base_score double, score double")
     ids = placed.select("_uid", key, (crc_mod(key, held_mod) == held_rest).alias("held_out"))
     return ids.join(result, "_uid").select(key, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -11,7 +11,7 @@ from test_repeats import LOW, W
 from texts import documents
 
 from earshot.llm.langid import ftrl, language_id, temperature
-from earshot.llm.lm import lm_scores
+from earshot.llm.lm import lm_scores, pack, pack_keys, unpack, unpack_keys
 from earshot.llm.ranking import bradley_terry, quality_ranking
 
 LANGS = {"en": "the of and with from this that river stone cloud", "de": "der die und nicht über straße schön wald haus", "es": "el la niño señor corazón camino sueño agua"}
@@ -103,3 +103,100 @@ def test_lm_is_a_distribution(table):
     got = {r["doc_id"]: r["score"] for r in lm_scores(table(rows + one + [(empty, "", None, None, None)])).collect()}
     # P(word) P(end | word) summed over the words, and P(end), can't pass 1
     assert 0 < sum(10 ** got[r[0]] for r in one) + 10 ** got[empty] <= 1 + 1e-9
+
+
+def reference_scores(rows):
+    """Trigram scores in plain Python, with the weights learned event by event; which texts are left out comes from Spark's hash."""
+    from pyspark.sql import SparkSession
+
+    ids = SparkSession.getActiveSession().createDataFrame([(r[0],) for r in rows], "k long").select("k", (F.abs(F.xxhash64(F.coalesce("k", F.lit(0)).cast("string"), F.lit(3))) % 10 == 0).alias("left")).collect()
+    left = {r["k"]: r["left"] for r in ids}
+
+    def events(text):
+        w = ["<s>", "<s>", *tokens(text)]
+        return [tuple(w[k - 2 : k + 1]) for k in range(2, len(w))]
+
+    def count(texts):
+        c = Counter()
+        for t in texts:
+            for u, v, w in events(t):
+                c.update([(u, v, w), (v, w), (w,), ("h", u, v), ("h", v), "n"])
+        return c
+
+    train = [r for r in rows if crc(r[0], 7) != 2]
+    kept, full = count(r[1] for r in train if not left[r[0]]), count(r[1] for r in train)
+    words = sum(len(k) == 1 and k != "n" for k in full)
+
+    def parts(c, u, v, w):
+        h2, h1 = c["h", u, v], c["h", v]
+        bucket = ("three", h2.bit_length()) if h2 else ("two", h1.bit_length())
+        return bucket, [c[u, v, w] / h2 if h2 else None, c[v, w] / h1 if h1 else None, c[w,] / c["n"], 1 / (words + 1)]
+
+    held = [parts(kept, *e) for r in train if left[r[0]] for e in events(r[1])]
+    start = lambda p: [0 if x is None else 1 / sum(y is not None for y in p) for x in p]
+    weights, last = {}, -math.inf
+    for _ in range(50):
+        total, gain = {}, 0.0
+        for b, p in held:
+            r = [(x or 0) * y for x, y in zip(p, weights.get(b, start(p)))]
+            gain += math.log(sum(r)) / len(held)
+            t = total.setdefault(b, [0 if x is None else 1e-3 for x in p])
+            for k in range(4):
+                t[k] += r[k] / sum(r)
+        weights = {b: [x / sum(t) for x in t] for b, t in total.items()}
+        if gain - last < 1e-6:
+            break
+        last = gain
+
+    def score(text):
+        out = 0.0
+        for e in events(text):
+            b, p = parts(full, *e)
+            w = [x * (1 - 1e-4) for x in weights.get(b, start(p))]
+            out += math.log10(sum((x or 0) * y for x, y in zip(p, w)) + 1e-4 * p[3])
+        return out
+
+    return sorted((str(r[0]), round(score(r[1]), 3)) for r in rows)
+
+
+def test_lm_against_all_trigrams(table):
+    rows = documents(n=80)
+    got = lm_scores(table(rows)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got) == reference_scores(rows)
+
+
+def test_lm_counts_rare_histories(table):
+    """A word that always follows another is likely after it, however rare both are among the tokens."""
+    train = [k for k in range(5000) if crc(k, 7) != 2]
+    odd, even = [k for k in range(5000) if crc(k, 7) == 2][:2]
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(20)) + f" left{k % 400} right{k % 400}", None, None, None) for k in train[:2000]]
+    got = {r["doc_id"]: r["score"] for r in lm_scores(table(rows + [(odd, "left7 right7", None, None, None), (even, "left7 right8", None, None, None)])).collect()}
+    assert got[odd] > got[even] + 1
+
+
+def test_lm_packs_keys_and_counts():
+    rng = np.random.default_rng(4)
+    for n, high in ((0, 2), (1, 2**63), (300, 2**20), (5000, 2**63)):
+        k = np.unique(rng.integers(0, high, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        assert (unpack_keys(pack_keys(k)) == k).all()
+        c = rng.integers(0, 400, n)
+        assert (unpack(pack(c), n) == c).all()
+
+
+def test_lm_sums_large_blocks_by_parts(monkeypatch):
+    from earshot.llm import lm
+
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 500, 300, dtype=np.uint64) * np.uint64(2**54) + np.uint64(7)) for _ in range(4)]
+    rows = [(b, u, u == 3, *[lm.pack_keys(k[lm.bucket_of(k, 2) == b])] * 3, *[lm.pack(np.full((lm.bucket_of(k, 2) == b).sum(), u + 1))] * 3) for u, k in enumerate(keys) for b in range(2)]
+    run = lambda: [b.to_pylist() for b in lm._answer(2)(iter([lm._batch(rows, lm._KEYS)]))]
+    whole = run()
+    monkeypatch.setattr(lm, "_SPLIT", 50)
+    assert run() == whole
+    all_counts = Counter()
+    for u, k in enumerate(keys):
+        all_counts.update({int(x): u + 1 for x in k})
+    got = next(r for b in whole for r in b if r["unit"] == 0 and r["bucket"] == 0)
+    k = keys[0][lm.bucket_of(keys[0], 2) == 0]
+    assert unpack(got["x2"], len(k)).tolist() == [all_counts[int(x)] for x in k]
