@@ -32,8 +32,8 @@ _letters: list[np.ndarray] = []
 def _fold() -> np.ndarray:
     """Code point -> lower-case code point, or 32 for what is no letter."""
     if not _letters:
-        t = np.full(1 << 16, 32, np.uint32)
-        for k in range(1 << 16):
+        t = np.full(0x110000, 32, np.uint32)
+        for k in range(0x110000):
             if chr(k).isalpha():
                 t[k] = ord(chr(k).lower()[0])
         _letters.append(t)
@@ -46,7 +46,7 @@ def grams(buf: Buf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum((buf.data & 0xC0) != 0x80, out=c[1:])
     off = c[buf.off]
     cp = np.frombuffer(buf.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    x = np.where(cp < (1 << 16), _fold()[np.minimum(cp, 0xFFFF)], cp)
+    x = _fold()[cp]
     letter = x != 32
     head = np.zeros(len(x) + 2, bool)
     head[off[:-1]] = True

@@ -200,3 +200,13 @@ def test_lm_sums_large_blocks_by_parts(monkeypatch):
     got = next(r for b in whole for r in b if r["unit"] == 0 and r["bucket"] == 0)
     k = keys[0][lm.bucket_of(keys[0], 2) == 0]
     assert unpack(got["x2"], len(k)).tolist() == [all_counts[int(x)] for x in k]
+
+
+def test_language_beyond_the_first_plane():
+    from earshot.llm.langid import grams
+    from earshot.llm.textbuf import Buf
+
+    texts = [t.encode() for t in ("😀 😀🎉", "12 😀 3", "\U00010400", "\U00010428", "漢😀")]
+    f, off, has, _ = grams(Buf(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])))
+    assert has.tolist() == [False, False, True, True, True]
+    assert (f[:, off[2] : off[3]] == f[:, off[3] : off[4]]).all()  # lower-cased
