@@ -210,3 +210,11 @@ def test_language_beyond_the_first_plane():
     f, off, has, _ = grams(Buf(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])))
     assert has.tolist() == [False, False, True, True, True]
     assert (f[:, off[2] : off[3]] == f[:, off[3] : off[4]]).all()  # lower-cased
+
+
+def test_lm_of_few_documents(table):
+    """A word that the training texts lack leaves a finite score, however few they are."""
+    train = [k for k in range(100) if crc(k, 7) != 2][:3]
+    held = next(k for k in range(100) if crc(k, 7) == 2)
+    got = lm_scores(table([(k, "a b", None, None, None) for k in train] + [(held, "unseen", None, None, None)])).collect()
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
