@@ -19,7 +19,9 @@ aligned so that equal strings stand in the same column:
    one interval.
 4. Intervals are merged by document and cut out.
 
-Columns are read from blocks that Spark's shuffle has sorted by core and keeps on disk; tasks hold a bounded block of strings.
+Columns are built in memory and only marks are kept: a task gathers the strings of its hash blocks, joins those of a block
+and builds columns for groups of unequal stretches only, so it holds all strings of its blocks, whatever their size. There are no
+sequential files, and the transform isn't kept.
 
 Defined cases: null and empty texts have 0 bytes and no span; texts shorter than `length` stay whole; equal rows cover each other;
 matches never cross rows, also not rows of an equal id; further columns are ignored. docs is to be a table that is read.
