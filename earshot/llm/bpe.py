@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textbuf import chunks, mix
+from .textbuf import Prefix, chunks, mix
 
 _END = "</w>"
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -273,13 +273,10 @@ class Tokenizer:
         e = np.append(cut[1:], n)[is_start]
         if not len(s):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        from .textbuf import _powers
-
-        p, inv = _powers(n + 1)
-        c = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * p[:n], out=c[1:])
-        h = mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64))
-        del c
+        raw = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # first byte of a code point
+        h = mix(Prefix(raw.astype(np.uint64) + np.uint64(1)).raw(byte[s], byte[e]))
+        del raw, byte
         u, first, back = np.unique(h, return_index=True, return_inverse=True)
         at, size = self._known(u, [joined, s[first], e[first]])
         at, size = at[back], size[back]

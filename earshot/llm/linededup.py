@@ -13,10 +13,13 @@ at least `min_chars` characters. The earliest stays. Blank lines always stay and
    is set against the earliest only, so no pairs of a group are made.
 4. Each (line, earlier line) found so is verified by its edit distance, and the later line is dropped.
 
-Keys travel in packed blocks, so a shuffled row holds many keys. Lines are known by 64-bit hashes.
+Keys travel in packed blocks, so a shuffled row holds many keys. Lines are known by polynomials modulo 2**61 - 1.
+A block's keys are sorted in one task; blocks follow spark.sql.shuffle.partitions, and a hot line, half or variant has one key for each task that met it.
 
-Defined cases: null texts stay null, empty texts stay empty; equal rows are told apart by their place, so the later loses
-its lines; a null id sorts first; ids are integers; further columns stay as they are. docs is to be a table that is read.
+Defined cases: null texts stay null, empty texts stay empty; very long texts and lines are handled whole (a line of n
+characters emits up to 2 n variants, if a half of it occurs in another line); equal rows are told apart by their place, so the
+later loses its lines; a null id sorts first; ids are integers; an empty table gives an empty result; further columns stay as
+they are, and counts whose names are taken get an underscore in front.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from .common import shared
+from .common import place, shared
 from .lm import bucket_of
-from .textbuf import Buf, _powers, chunks, mix
+from .textbuf import Buf, chunks, mix, reduced
 
 _SAME_FIRST, _SAME_LAST, _LONG_FIRST, _LONG_LAST, _SHORT = 1, 2, 4, 8, 16
 _LOWEST = -(1 << 63)
@@ -43,23 +46,26 @@ _BROADCAST_ROWS = 50_000
 
 
 class _Symbols:
-    """Code points of a chunk, with prefix sums for hashes of any stretch."""
+    """Code points of a chunk, with hashes of the bytes of any stretch of them."""
 
     def __init__(self, buf: Buf):
-        c = np.zeros(len(buf.data) + 1, np.int64)
-        np.cumsum((buf.data & 0xC0) != 0x80, out=c[1:])
-        self.at = c  # code point at a byte
-        cp = np.frombuffer(buf.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        self.n = len(cp)
-        p, self.inv = _powers(self.n + 1)
-        self.sum = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(77)) * p[: self.n], out=self.sum[1:])
+        lead = (buf.data & 0xC0) != 0x80
+        self.at = np.concatenate([[0], np.cumsum(lead)])  # code point at a byte
+        self.byte = np.append(np.flatnonzero(lead), len(buf.data))  # first byte of a code point
+        self.prefix = buf.prefix()
 
-    def raw(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return (self.sum[e] - self.sum[s]) * self.inv[s]
+    def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.prefix.raw(self.byte[a], self.byte[b])
 
-    def hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix(self.raw(s, e) + (e - s).astype(np.uint64))
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(self.raw(a, b))
+
+    def without(self, a: int, cut: np.ndarray, b: int) -> np.ndarray:
+        """Of [a, b) less the code point at each of cut."""
+        first, at, after, end = self.byte[a], self.byte[cut], self.byte[cut + 1], self.byte[b]
+        left = self.prefix.sum(np.full(len(cut), first), at)
+        right = self.prefix.moved(self.prefix.sum(after, np.full(len(cut), end)), after - at)
+        return self.prefix.moved(reduced(left + right), np.full(len(cut), first))
 
 
 def real_lines(buf: Buf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,13 +165,15 @@ def _settle(blocks: int):
                     lines.setdefault(k, []).append(np.frombuffer(a, LINE))
                 else:
                     halves.setdefault(k, []).append(np.frombuffer(a, np.uint64).reshape(-1, 2))
-        for k, parts in lines.items():
+        while lines:
+            k, parts = lines.popitem()
             first, rest = _earliest(np.concatenate(parts))
             rows = [(k, _LINES, first.tobytes(), b"")]
             if len(rest):
                 rows += _deal(_uid_key(rest["u"]), _DROP, np.stack([rest["u"], rest["n"].astype(np.int64)], 1), None, blocks)
             yield _pack(rows)
-        for parts in halves.values():
+        while halves:
+            _, parts = halves.popitem()
             x = np.unique(np.concatenate(parts), axis=0)
             key, value = x[:, 0], x[:, 1]
             part, shorter, h = key & np.uint64(1), value & np.uint64(1), value & ~np.uint64(1)
@@ -242,7 +250,7 @@ def _variants(blocks: int):
                     for first, last, (i, j) in ((_SAME_FIRST, _LONG_FIRST, (half, n)), (_SAME_LAST, _LONG_LAST, (0, half))):
                         if code & (first | last) and j > i:
                             cut = np.arange(a + i, a + j)
-                            v = (sym.sum[cut] - sym.sum[a]) * sym.inv[a] + (sym.sum[b] - sym.sum[cut + 1]) * sym.inv[a + 1]
+                            v = sym.without(a, cut, b)
                             if code & first:  # replacements: the place counts
                                 keys.append(mix(v ^ mix((cut - a).astype(np.uint64) + np.uint64(n << 32))))
                             if code & last:
@@ -267,7 +275,8 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, _, a, b in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
             got.setdefault(k, []).append((np.frombuffer(a, np.uint64).reshape(-1, 2), np.frombuffer(b, LINE)))
-    for parts in got.values():
+    while got:
+        _, parts = got.popitem()
         key, line = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         whole, key = key[:, 1] == 1, key[:, 0]
         order = np.lexsort((line["n"], line["u"], line["d"], key))
@@ -304,14 +313,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[first, 0]), pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), pa.array(x[:, 1].astype(np.int32)))], names=["_uid", "exact"])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the lines that go taken out of the text, and n_lines (not blank), n_exact and n_near (dropped)."""
+def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: str = "doc_id", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
+    """docs with the lines that go taken out of the text, and three counts: lines that aren't blank, and those dropped as equal or as near."""
     spark: SparkSession = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     names = docs.columns
     inner = [f"_c{j}" for j in range(len(names))]  # so that no name can clash
     at = names.index(text)
-    placed = docs.toDF(*inner).withColumn("_uid", F.monotonically_increasing_id())
+    placed = place(docs.toDF(*inner))
     line_text = inner[at]
     rows = placed.select("_uid", F.col(inner[names.index(key)]).cast("long").alias("_id"), line_text)
     found = shared(rows.mapInArrow(_scan(blocks, min_chars), SCHEMA).repartition(blocks, "bucket").mapInArrow(_settle(blocks), SCHEMA), spark)
@@ -328,8 +337,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
     exact_lists = found.where(F.col("kind") == _DROP).repartition(blocks, "bucket").mapInArrow(_lists, "_uid long, exact array<int>")
     drops = exact_lists.join(near_lists, "_uid", "full")
     schema = StructType(docs.withColumn(text, F.col(text).cast("string")).schema.fields)
-    for c in ("n_lines", "n_exact", "n_near"):
-        while c in schema.names:
+    for c in counts:
+        while c.lower() in {x.lower() for x in schema.names}:
             c = "_" + c
         schema = schema.add(c, IntegerType())
     for f in schema.fields:
@@ -347,8 +356,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
                     t = "\n".join(x for k, x in enumerate(lines) if k not in gone)
                 kept.append(t)
             cols = [pa.array(kept, pa.string()) if j == at else batch.column(j) for j in range(len(names))]
-            counts = [pa.array([len(x or ()) for x in xs], pa.int32()) for xs in (exact, close_)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), *counts], names=schema.names)
+            dropped = [pa.array([len(x or ()) for x in xs], pa.int32()) for xs in (exact, close_)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), *dropped], names=schema.names)
 
     joined = placed.join(drops, "_uid", "left").select(*inner, "exact", "near")
     return joined.mapInArrow(rewrite, schema)
