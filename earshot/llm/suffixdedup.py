@@ -19,12 +19,19 @@ aligned so that equal strings stand in the same column:
    one interval.
 4. Intervals are merged by document and cut out.
 
-Columns are built in memory and only marks are kept: a task gathers the strings of its hash blocks, joins those of a block
-and builds columns for groups of unequal stretches only, so it holds all strings of its blocks, whatever their size. There are no
-sequential files, and the transform isn't kept.
-
-Defined cases: null and empty texts have 0 bytes and no span; texts shorter than `length` stay whole; equal rows cover each other;
-matches never cross rows, also not rows of an equal id; further columns are ignored. docs is to be a table that is read.
+A core with many different stretches (counted by 16-bit hashes in step 2, so exact copies don't count) would gather
+them all in one task. Its windows are dealt into finer kinds, whose cores are longer and whose stretches are shorter: 16
+from `hot` different stretches on, and from `hot * 16` on one for each window, where equal cores are equal
+windows and no columns are needed. So a task builds columns for about `hot * 16` strings of a core at most, however common it is.
+
+What the named method has and this has not: columns decide only for groups of unequal stretches (equality of digests
+decides the others), they are built in memory from the strings that a shuffle brought together, only marks
+are kept, and there are no sequential files and no kept transform.
+
+Defined cases: null and empty texts have 0 bytes and no span; texts shorter than `length` stay whole; very long texts are
+handled whole, with memory for a few arrays of 8 bytes for each of their bytes; equal rows cover each other;
+matches never cross rows, also not rows of an equal id; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,19 +44,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import place, shared
 from .lm import bucket_of
-from .textbuf import Buf, _powers, _TABLE, chunks, mix
+from .textbuf import Buf, chunks, mix
 
 _GRAM = 32
 _BROADCAST_BYTES = 16 << 20
 _BLOCK_STRINGS = 20_000
+_HOT = 1_000
 SCHEMA = "bucket int, base long, a binary, b binary"
-_FOUND = np.dtype([("key", "<u4"), ("doc", "<u2"), ("p", "<u4")])
-_BACK = np.dtype([("doc", "<u2"), ("p", "<u4")])
+_FOUND = np.dtype([("key", "<u4"), ("doc", "<u2"), ("p", "<u4"), ("around", "<u2")])
+_BACK = np.dtype([("doc", "<u2"), ("p", "<u4"), ("level", "u1")])
+_MARK = np.dtype([("p", "<u4"), ("level", "u1")])
 _MEMBER = np.dtype([("key", "<u8"), ("digest", "V16"), ("u", "<i8"), ("p", "<u4")])
-_STRING = np.dtype([("key", "<u8"), ("digest", "V16"), ("lo", "<u2"), ("hi", "<u2")])
+_STRING = np.dtype([("key", "<u8"), ("digest", "V16"), ("lo", "<u2"), ("hi", "<u2"), ("kind", "u1"), ("c0", "<u2"), ("c1", "<u2")])
 _SPAN = np.dtype([("u", "<i8"), ("a", "<i8"), ("b", "<i8")])
+_SYMBOL = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -65,17 +75,13 @@ def _deal(x: np.ndarray, of: np.ndarray, base: int, blocks: int) -> Iterator[pa.
         yield _batch(rows[lo : lo + 64])
 
 
-class _Hash:
-    """Hashes of any stretch of a chunk."""
-
-    def __init__(self, buf: Buf):
-        n = len(buf.data)
-        p, self.inv = _powers(n + 1)
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[buf.data] * p[:n], out=self.sum[1:])
-
-    def of(self, s: np.ndarray, e: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix((self.sum[e] - self.sum[s]) * self.inv[s] + np.uint64(salt))
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the _GRAM bytes from each place on; they choose anchors, so equality isn't decided by them."""
+    h, m = _SYMBOL[data], 1
+    while m < _GRAM:
+        h = h[:-m] * np.uint64(pow(0x9E3779B97F4A7C15, m, 2**64)) + h[m:]
+        m *= 2
+    return mix(h)
 
 
 class Shape:
@@ -86,14 +92,16 @@ class Shape:
             raise ValueError(f"length must be {2 * _GRAM} or more")
         self.length, self.room = length, length - _GRAM  # room: largest distance of an anchor from its window's start
         self.half = self.room // 2
-        self.width = self.length + max(self.half, self.room - self.half)
+        # windows of kind 0 start half or more before the anchor, those of kind 1 half or less: first start, and number of the last
+        self.first, self.last = (-self.room, -self.half), (self.room - self.half, self.half)
+        self.parts = [[[(c[0], c[-1]) for c in np.array_split(np.arange(last + 1), min(n, last + 1))] for last in self.last] for n in (1, 16, length)]
 
-    def core(self, kind: int) -> tuple[int, int]:
-        """First and end of the core of windows of a kind, from the anchor: kind 0 starts half or more before it, kind 1 half or less."""
-        return (-self.half, _GRAM) if kind == 0 else (0, self.length - self.half)
+    def core(self, kind: int, c0: int, c1: int) -> tuple[int, int]:
+        """First byte and end, from the anchor, of what the kind's windows of numbers c0 to c1 share."""
+        return self.first[kind] + c1, self.first[kind] + c0 + self.length
 
-    def stretch(self, kind: int) -> tuple[int, int]:
-        return (-self.room, self.length - self.half) if kind == 0 else (-self.half, self.length)
+    def stretch(self, kind: int, c0: int, c1: int) -> tuple[int, int]:
+        return self.first[kind] + c0, self.first[kind] + c1 + self.length
 
 
 def anchors(buf: Buf, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,9 +110,7 @@ def anchors(buf: Buf, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n, L = len(buf.data), shape.length
     if n < L:
         return none, none, none
-    h = _Hash(buf)
-    k = np.arange(n - _GRAM + 1)
-    v = (h.of(k, k + _GRAM) & np.uint64(0xFFFFFFFF00000000)) | k.astype(np.uint64)
+    v = (gram_hashes(buf.data) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - _GRAM + 1, dtype=np.uint64)
     w, size = shape.room + 1, 1
     m = v
     while size * 2 <= w:
@@ -132,38 +138,43 @@ def anchors(buf: Buf, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return pos, kind, buf.doc_of(pos)
 
 
-def _keys(h: _Hash, pos: np.ndarray, kind: np.ndarray, shape: Shape) -> np.ndarray:
-    key = np.zeros(len(pos), np.uint64)
-    for k in (0, 1):
-        m = kind == k
-        a, b = shape.core(k)
-        key[m] = h.of(pos[m] + a, pos[m] + b, k + 1)
-    return key
+def _salt(kind: int, c0: int, c1: int) -> np.uint64:
+    return np.uint64(((kind + 1) << 32 | int(c0) << 16 | int(c1)) * 0x9E3779B97F4A7C15 % 2**64)
 
 
 def _scan(shape: Shape, blocks: int):
+    """Cores by block, and the places of a unit's texts (b is not empty)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold, base, rows, size = [], 0, 0, 0
+        hold, places, rows, size = [], [], 0, 0
 
         def out():
-            key = np.concatenate([x[0] for x in hold])
-            x = np.concatenate([x[1] for x in hold])
-            yield from _deal(x, bucket_of(key, blocks), base, blocks)
+            key, uid = np.concatenate([x[0] for x in hold]), np.concatenate(places)
+            base = int(uid[0])
+            yield _batch([(_of_base(base, blocks), base, uid.tobytes(), b"u")])
+            yield from _deal(np.concatenate([x[1] for x in hold]), bucket_of(key, blocks), base, blocks)
 
         for batch in batches:
             uids = batch.column(0).to_numpy()
             for lo, hi, buf in chunks(batch.column(1)):
                 if rows and (rows + buf.n > 60_000 or size > 1_000_000):
                     yield from out()
-                    hold, rows, size = [], 0, 0
-                if not rows:
-                    base = int(uids[lo])
+                    hold, places, rows, size = [], [], 0, 0
                 pos, kind, doc = anchors(buf, shape)
-                key = _keys(_Hash(buf), pos, kind, shape) if len(pos) else np.zeros(0, np.uint64)
+                key, around = np.zeros(len(pos), np.uint64), np.zeros(len(pos), np.uint64)
+                for k, last in enumerate(shape.last):
+                    m = np.flatnonzero(kind == k)
+                    if not len(m):
+                        continue
+                    (a, b), (c, d) = shape.core(k, 0, last), shape.stretch(k, 0, last)
+                    key[m] = mix(buf.prefix().raw(pos[m] + a, pos[m] + b) ^ _salt(k, 0, last))
+                    left, right = np.maximum(pos[m] + c, buf.off[doc[m]]), np.minimum(pos[m] + d, buf.off[doc[m] + 1])
+                    around[m] = mix(buf.prefix().raw(left, right) ^ mix((left - pos[m] - c).astype(np.uint64)))
                 x = np.empty(len(pos), _FOUND)
-                x["key"] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                x["key"], x["around"] = key & np.uint64(0xFFFFFFFF), around & np.uint64(0xFFFF)
                 x["doc"], x["p"] = doc + rows, (pos - buf.off[doc]) * 2 + kind
                 hold.append((key, x))
+                places.append(uids[lo:hi])
                 rows, size = rows + buf.n, size + len(pos)
         if rows:
             yield from out()
@@ -175,26 +186,36 @@ def _of_base(base: int, blocks: int) -> int:
     return int(mix(np.array([base], np.uint64))[0] % np.uint64(blocks))
 
 
-def _repeated(blocks: int):
+def _repeated(blocks: int, hot: int):
+    """Sends back the cores that occur more than once, with the level to which their windows are to be dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for batch in batches:
-            for k, base, a in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                got.setdefault(k, []).append((base, np.frombuffer(a, _FOUND)))
-        for parts in got.values():
-            key = np.concatenate([p[1]["key"] for p in parts])
-            order = np.argsort(key)
-            s = key[order]
-            same = s[1:] == s[:-1]
-            hit = np.zeros(len(key), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            at = 0
+            for k, base, a, b in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+                if b:
+                    yield _batch([(k, base, a, b)])
+                else:
+                    got.setdefault(k, []).append((base, np.frombuffer(a, _FOUND)))
+        while got:
+            _, parts = got.popitem()
+            both = np.concatenate([p[1]["key"].astype(np.uint64) << np.uint64(16) | p[1]["around"] for p in parts])
+            order = np.argsort(both)
+            both = both[order]
+            key = both >> np.uint64(16)
+            new = np.append(True, key[1:] != key[:-1])
+            group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+            many = np.diff(np.append(at, len(key)))[group] > 1
+            different = np.add.reduceat(np.append(True, both[1:] != both[:-1]).astype(np.int64), at)[group]
+            level = np.empty(len(key), np.uint8)
+            level[order] = np.where(many, (different > hot).astype(np.uint8) + (different > 16 * hot), 255)
+            to = 0
             for base, x in parts:
-                x, at = x[hit[at : at + len(x)]], at + len(x)
-                if len(x):
-                    y = np.empty(len(x), _BACK)
-                    y["doc"], y["p"] = x["doc"], x["p"]
+                own, to = level[to : to + len(x)], to + len(x)
+                hit = own < 255
+                if hit.any():
+                    y = np.empty(hit.sum(), _BACK)
+                    y["doc"], y["p"], y["level"] = x["doc"][hit], x["p"][hit], own[hit]
                     yield _batch([(_of_base(base, blocks), base, y.tobytes(), b"")])
 
     return run
@@ -202,15 +223,21 @@ def _repeated(blocks: int):
 
 def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got: dict[int, list] = {}
+    places: dict[int, np.ndarray] = {}
     for batch in batches:
-        for base, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            got.setdefault(base, []).append(np.frombuffer(a, _BACK))
+        for base, a, b in zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True):
+            if b:
+                places[base] = np.frombuffer(a, np.int64)
+            else:
+                got.setdefault(base, []).append(np.frombuffer(a, _BACK))
     for base, parts in got.items():
         x = np.concatenate(parts)
         x = x[np.argsort(x["doc"], kind="stable")]
         first = np.flatnonzero(np.append(True, x["doc"][1:] != x["doc"][:-1]))
-        blobs = [x["p"][a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(base + x["doc"][first].astype(np.int64)), pa.array(blobs, pa.binary())], names=["_uid", "marks"])
+        mark = np.empty(len(x), _MARK)
+        mark["p"], mark["level"] = x["p"], x["level"]
+        blobs = [mark[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(places[base][x["doc"][first]]), pa.array(blobs, pa.binary())], names=["_uid", "marks"])
 
 
 def _stretches(shape: Shape, blocks: int):
@@ -227,39 +254,48 @@ def _stretches(shape: Shape, blocks: int):
             yield from _deal(x, bucket_of(x["key"], blocks), 0, blocks)
             if strings:
                 head = np.empty(len(strings), _STRING)
-                head["key"], head["lo"], head["hi"] = ([s[j] for s in strings] for j in (0, 2, 3))
+                for j, name in ((0, "key"), (2, "lo"), (3, "hi"), (4, "kind"), (5, "c0"), (6, "c1")):
+                    head[name] = [s[j] for s in strings]
                 head["digest"] = np.frombuffer(b"".join(s[1] for s in strings), "V16")
                 of = bucket_of(head["key"], blocks)
                 order = np.argsort(of, kind="stable")
                 cut = np.searchsorted(of[order], np.arange(blocks + 1))
                 for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     if b > a:
-                        yield _batch([(k, 1, head[order[a:b]].tobytes(), b"".join(strings[j][4] for j in order[a:b]))])
+                        yield _batch([(k, 1, head[order[a:b]].tobytes(), b"".join(strings[j][7] for j in order[a:b]))])
 
         for batch in batches:
             uids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi, buf in chunks(batch.column(2)):
-                h, raw = _Hash(buf), buf.data.tobytes()
+                prefix, raw = buf.prefix(), buf.data.tobytes()
                 for n in range(buf.n):
-                    mark = np.frombuffer(marks[lo + n], np.uint32)
-                    kind, pos = (mark & 1).astype(np.int64), (mark >> 1).astype(np.int64) + buf.off[n]
-                    key = _keys(h, pos, kind, shape)
-                    x = np.empty(len(pos), _MEMBER)
-                    x["key"], x["u"], x["p"] = key, uids[lo + n], mark
-                    digests = []
                     a, b = int(buf.off[n]), int(buf.off[n + 1])
-                    for p, k, q in zip(pos.tolist(), kind.tolist(), key.tolist(), strict=True):
-                        c, d = shape.stretch(k)
+                    own = []  # mark, place of the anchor, kind, first and last window
+                    for mark, level in np.frombuffer(marks[lo + n], _MARK).tolist():
+                        kind, pos = mark & 1, (mark >> 1) + a
+                        for c0, c1 in shape.parts[level][kind]:
+                            left, right = shape.core(kind, c0, c1)
+                            if pos + left >= a and pos + right <= b:
+                                own.append((mark, pos, kind, int(c0), int(c1), pos + left, pos + right, _salt(kind, c0, c1)))
+                    if not own:
+                        continue
+                    left, right, salt = (np.array([x[j] for x in own], t) for j, t in ((5, np.int64), (6, np.int64), (7, np.uint64)))
+                    key = mix(prefix.raw(left, right) ^ salt)
+                    x = np.empty(len(own), _MEMBER)
+                    x["key"], x["u"], x["p"] = key, uids[lo + n], [y[0] for y in own]
+                    digests = []
+                    for (_, p, k, c0, c1, *_), q in zip(own, key.tolist(), strict=True):
+                        c, d = shape.stretch(k, c0, c1)
                         left, right = max(a, p + c), min(b, p + d)
                         cut = raw[left:right]
                         first, end = left - p - c, right - p - c
-                        digest = hashlib.blake2b(cut + bytes((first & 255, first >> 8, k)), digest_size=16).digest()
+                        digest = hashlib.blake2b(b"%d %d %d %d " % (first, k, c0, c1) + cut, digest_size=16).digest()
                         digests.append(digest)
                         if digest not in sent:
                             if len(sent) > 100_000:
                                 sent.clear()
                             sent.add(digest)
-                            strings.append((q, digest, first, end, cut))
+                            strings.append((q, digest, first, end, k, c0, c1, cut))
                             bytes_ += len(cut)
                     x["digest"] = np.frombuffer(b"".join(digests), "V16")
                     members.append(x)
@@ -320,7 +356,8 @@ def _intervals(shape: Shape, blocks: int):
                     pair[0].append(np.frombuffer(a, _MEMBER))
                 else:
                     pair[1].append((np.frombuffer(a, _STRING), b))
-        for members, strings in got.values():
+        while got:
+            _, (members, strings) = got.popitem()
             x = np.concatenate(members)
             head = np.concatenate([s[0] for s in strings])
             data = np.frombuffer(b"".join(s[1] for s in strings), np.uint8)
@@ -343,9 +380,8 @@ def _intervals(shape: Shape, blocks: int):
             of = place[back[len(row) :]]
             count = np.bincount(of, minlength=len(row))
             lo, hi = head["lo"][row].astype(np.int64), head["hi"][row].astype(np.int64)
-            kind = np.zeros(len(row), np.int64)
-            kind[of] = x["p"] & 1
-            last = np.where(kind == 0, shape.room - shape.half, shape.half)  # windows of the kind start in columns 0 to last
+            kind, c0, c1 = (head[name][row].astype(np.int64) for name in ("kind", "c0", "c1"))
+            last = c1 - c0  # windows of the stretch start in columns 0 to last
             a = np.where(count > 1, lo, 1 << 30)
             b = np.where(count > 1, np.minimum(last, hi - shape.length), -1)
             group = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -356,7 +392,7 @@ def _intervals(shape: Shape, blocks: int):
                 while to < len(crowd) and group[crowd[to]] == group[crowd[to - 1]]:
                     to += 1
                 part = crowd[at:to]
-                symbols = np.zeros((len(part), shape.width), np.uint16)
+                symbols = np.zeros((len(part), int(last[part].max()) + shape.length), np.uint16)
                 for n, r in enumerate(part.tolist()):
                     o = off[row[r]]
                     symbols[n, lo[r] : hi[r]] = data[o : o + hi[r] - lo[r]]
@@ -373,7 +409,7 @@ def _intervals(shape: Shape, blocks: int):
             x, of = x[ok], of[ok]
             if len(x):
                 y = np.empty(len(x), _SPAN)
-                start = (x["p"] >> 1).astype(np.int64) - np.where(x["p"] & 1, shape.half, shape.room)
+                start = (x["p"] >> 1).astype(np.int64) + np.array(shape.first)[kind[of]] + c0[of]
                 y["u"], y["a"], y["b"] = x["u"], start + a[of], start + b[of] + shape.length
                 yield from _deal(y, (mix(y["u"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64), 0, blocks)
 
@@ -401,13 +437,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.ListArray.from_arrays(cut, pa.array(a)), pa.ListArray.from_arrays(cut, pa.array(end))], names=["_uid", "starts", "ends"])
 
 
-def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """_uid, starts and ends (bytes) of the maximal runs covered by repeated strings; rows without any have none."""
+def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text", hot: int = _HOT) -> DataFrame:
+    """_uid, starts and ends (bytes) of the maximal runs covered by repeated strings; rows without any have none. placed: from common.place."""
     spark: SparkSession = placed.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     shape = Shape(length)
     rows = placed.select("_uid", text)
-    marks = rows.mapInArrow(_scan(shape, blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_repeated(blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_by_text, "_uid long, marks binary")
+    marks = rows.mapInArrow(_scan(shape, blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_repeated(blocks, hot), SCHEMA).repartition(blocks, "bucket").mapInArrow(_by_text, "_uid long, marks binary")
     marks = shared(marks, spark)
     small = (marks.agg(F.sum(F.length("marks") + 16)).first()[0] or 0) <= _BROADCAST_BYTES  # beyond that both sides are shuffled
     texts = rows.join(F.broadcast(marks) if small else marks, "_uid").select("_uid", "marks", text)
@@ -416,13 +452,13 @@ def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text") ->
     return shared(spans.mapInArrow(_merge, "_uid long, starts array<long>, ends array<long>"), spark)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False, hot: int = _HOT) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of docs; with digest, kept_sha256 instead of kept."""
     spark = docs.sparkSession
-    placed = docs.withColumn("_uid", F.monotonically_increasing_id())
-    spans = repeated_spans(placed, length, text)
+    placed = place(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
+    spans = repeated_spans(placed, length, "_text", hot)
     small = (spans.agg(F.sum(F.size("starts") * 16 + 32)).first()[0] or 0) <= _BROADCAST_BYTES
-    joined = placed.select("_uid", key, text).join(F.broadcast(spans) if small else spans, "_uid", "left").select(key, text, "starts", "ends")
+    joined = placed.join(F.broadcast(spans) if small else spans, "_uid", "left").select("_key", "_text", "starts", "ends")
     kind, last = dict(docs.select(key).dtypes)[key], ("kept_sha256 string" if digest else "kept binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
