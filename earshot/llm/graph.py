@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = shared(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))

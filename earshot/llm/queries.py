@@ -63,8 +63,7 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    placed = read(spark, sf_dir, "documents").withColumn("_uid", F.monotonically_increasing_id())
-    return near_duplicates(placed).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
