@@ -8,7 +8,8 @@ documented bound), and one temperature is then fitted on the fifth of the sample
 
 Defined cases: a null or empty text or one without a letter is `und` with score 1.0; rows with a null
 language or text do not train; with no training rows everything else is `und` with score 0.0; ties between
-languages go to the smaller code; equal texts get equal results; further columns are ignored.
+languages go to the smaller code; equal texts get equal results; repeated ids count each row once, so they don't
+widen the sample; very long texts count whole; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, place
 from .textbuf import Buf, chunks
 
 BITS = 15
@@ -155,20 +156,20 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages and a table (features, languages) whose mean over a text's n-grams gives its calibrated logits."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = place(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("lang"), F.col(text).alias("text")))
+    text = "text"
     parts = rows.select(text).mapInArrow(_document_frequencies, "block int, df binary, n long").repartition(_BLOCKS, "block").mapInArrow(_add, "block int, df binary, n long").collect()
     df, total = np.zeros(SIZE), 0
     for r in parts:
         df[r["block"] * SIZE // _BLOCKS : (r["block"] + 1) * SIZE // _BLOCKS] = np.frombuffer(r["df"], np.int64)
         total = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(5))
+    h = F.xxhash64(F.col("_key").cast("string"), F.lit(5)).alias("h")
     # in two steps, so that a frequent language is never ranked in one task: 64 shares first, then what they leave
-    picked = rows.select(key, lang, h.alias("_h")).withColumn("_share", F.pmod("_h", F.lit(64)))
-    for part in ([lang, "_share"], [lang]):
-        picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_h", key))).where(F.col("_r") <= per_language)
-    picked = picked.select(key)
-    sample = rows.select(key, F.col(lang).alias("lang"), h.alias("h"), text).join(F.broadcast(picked.distinct()), key).select("lang", "h", text)
+    picked = rows.select("_uid", "lang", h).withColumn("_share", F.pmod("h", F.lit(64)))
+    for part in (["lang", "_share"], ["lang"]):
+        picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "_uid"))).where(F.col("_r") <= per_language)
+    sample = rows.join(F.broadcast(picked.select("_uid")), "_uid").select("lang", h, "text")  # per_language rows for each language
     got = sorted((r["lang"], r["h"], bytes(r["ids"]), bytes(r["tf"])) for r in sample.mapInArrow(_sparse, "lang string, h long, ids binary, tf binary").collect())
     langs = sorted({r[0] for r in got})
     data = []

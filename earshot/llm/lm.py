@@ -15,11 +15,12 @@ task of a range sums them and answers each unit with the sums in the order of it
 The counts grow with the corpus and none of them are dropped, gathered by the driver or broadcast. The files of
 the first shuffle are given up once the answers are written. Texts meet the answers by unit. The
 count of a history is that of the word or bigram before the token, as something follows each of them. Grams are
-known by 64-bit hashes. Units are formed twice, from the same scan of docs.
+known by 64-bit hashes. Units are formed twice, from the same rows in the same splits (their number is held for the session); if they
+ever differed, the job would end with an error, not with other scores.
 
-Defined cases: a null or empty text is a single end; repeated rows are scored each (rows are told apart by
-their place, so docs is to be a table that is read, not a shuffled result); without training texts N and V are 0, both scores are 0 per token;
-further columns are ignored; a null id counts as the empty text for the training rule.
+Defined cases: a null or empty text is a single end; very long texts are units of their own; repeated rows are scored each (rows are told
+apart by their place); without training texts N and V are 0, both scores are 0 per token; an empty table gives an empty result;
+further columns are ignored, whatever their names; a null id counts as the empty text for the training rule.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, shared
+from .common import crc_mod, pin_splits, place, shared
 from .textbuf import CHUNK_BYTES, Buf, chunks, mix
 
 END = np.uint64(0x5EED0E4D5EED0E4D)
@@ -318,7 +319,8 @@ def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, text: str
     """
     spark: SparkSession = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    placed = docs.select(F.monotonically_increasing_id().alias("_uid"), key, text)
+    pin_splits(spark)
+    placed = place(docs.select(key, text))
     left = F.abs(F.xxhash64(F.coalesce(F.col(key), F.lit(0)).cast("string"), F.lit(3))) % 10 == 0
     units = placed.select("_uid", text, F.when(crc_mod(key, held_mod) == held_rest, 0).when(left, 2).otherwise(1).alias("kind"))
     counted = units.mapInArrow(_send_grams(blocks), _KEYS).repartition(blocks, "bucket").mapInArrow(_answer(blocks), _SUMS + "".join(f", {x} long" for x in _STATS))

@@ -3,7 +3,9 @@
 Documents are grouped by the set of sources that they belong to (their pattern). Words flow from patterns
 to the sources in them, up to each source's target; the first copy of a pattern's words costs nothing and
 every further copy costs one more than the copy before, so words repeat only where a target needs it. The
-flow is solved on the driver over patterns and sources (at most `max_patterns`, else ValueError). Each
+flow is solved on the driver over the patterns and sources that overlap (at most `max_patterns`, else ValueError); a
+source all of whose documents are in no other takes its words without a search, so the number of such sources has no bound but
+the driver's memory for two numbers each. Each
 document then gets the copies that its pattern takes whole, and seeded documents one more: those first in
 the order of a hash of their id, up to the words that are left, and the one that best fills the gap. Where that order is cut is found by sums over
 65536 ranges of the hash and an exact running sum inside the one range that holds the cut.
@@ -11,9 +13,9 @@ the order of a hash of their id, up to the words that are left, and the one that
 Targets: a share of the words in all documents, dealt by weight; a target stops at `max_copies` times the
 words of its source, and what is over is dealt again.
 
-Defined cases: null and empty texts have size 0 and take 0; null is a source like others and sorts last;
-documents without any source take nothing; repeated rows count and are taken each, in a fixed order; an empty
-table gives an empty result; further columns are ignored.
+Defined cases: null and empty texts have size 0 and take 0; very long texts count whole; null is a source like others and
+sorts last; documents without any source take nothing; repeated rows count and are taken each, in a fixed order; an empty
+table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,10 +100,12 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
 def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_copies: int = 2, key: str = "doc_id", seed: int = 1, max_patterns: int = 10_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns in keep, sources (array), size, copies and taken (words) of every row of docs; sources: the array of those a row belongs to."""
     spark = docs.sparkSession
-    rows = shared(docs.select(key, F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *keep), spark).withColumn("_uid", F.monotonically_increasing_id())
-    groups = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(groups) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
+    rows = shared(docs.select(key, F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *keep), spark)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # over what is written
+    patterns = shared(rows.groupBy("sources").agg(F.sum("size").alias("words")), spark)
+    if patterns.where(F.size("sources") > 1).count() > max_patterns:
+        raise ValueError(f"more than {max_patterns} patterns of several sources")
+    groups = patterns.collect()  # a row for each source, and those of several
     groups = sorted(((list(r["sources"] or []), int(r["words"] or 0)) for r in groups), key=lambda g: [(x is None, x or "") for x in g[0]])
     sizes: dict = {}
     for own, words in groups:
@@ -109,7 +113,12 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[f
             sizes[s] = sizes.get(s, 0) + words
     want = targets(sizes, weights, share, max_copies)
     names = list(sizes)
-    sent = min_cost_flow([w for _, w in groups], [[names.index(s) for s in own] for own, _ in groups], [round(want[s]) for s in names], max_copies)
+    number = {s: k for k, s in enumerate(names)}
+    tied = {s for own, _ in groups if len(own) > 1 for s in own}
+    sent = [min(max_copies * words, round(want[own[0]])) if own else 0 for own, words in groups]  # right where nothing overlaps
+    flows = [k for k, (own, _) in enumerate(groups) if own and own[0] in tied]
+    for k, f in zip(flows, min_cost_flow([groups[k][1] for k in flows], [[number[s] for s in groups[k][0]] for k in flows], [round(want[s]) for s in names], max_copies), strict=True):
+        sent[k] = f
     plan = []
     for (own, words), f in zip(groups, sent, strict=True):
         whole = f // words if words else 0
@@ -130,10 +139,10 @@ def mix_sources(docs: DataFrame, size: Column, sources: Column, weights: tuple[f
     # the words still missing go to the one document that comes closest to them
     taken = out.groupBy("sources").agg((F.max("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")).where("gap > 0")
     gaps = spark.createDataFrame(taken.collect(), f"sources {dict(rows.dtypes)['sources']}, gap long")  # a row for each pattern
-    near_gap = out.where(~F.col("more")).alias("r").join(F.broadcast(gaps).alias("g"), F.expr("r.sources <=> g.sources")).select("r.sources", "r._uid", "r._h", F.abs(F.col("r.size") - F.col("g.gap")).alias("off"), "g.gap")
-    best = near_gap.where("off < gap").groupBy("sources").agg(F.min(F.struct("off", "_h", "_uid"))["_uid"].alias("_uid"))
-    last = spark.createDataFrame([(r["_uid"], True) for r in best.collect()], "_uid long, last boolean")  # a row for each pattern at most
-    out = out.join(F.broadcast(last), "_uid", "left")
+    near_gap = out.where(~F.col("more")).alias("r").join(F.broadcast(gaps).alias("g"), F.expr("r.sources <=> g.sources")).select("r.sources", "r._row", "r._h", F.abs(F.col("r.size") - F.col("g.gap")).alias("off"), "g.gap")
+    best = near_gap.where("off < gap").groupBy("sources").agg(F.min(F.struct("off", "_h", "_row"))["_row"].alias("_row"))
+    last = spark.createDataFrame([(r["_row"], True) for r in best.collect()], "_row long, last boolean")  # a row for each pattern at most
+    out = out.join(F.broadcast(last), "_row", "left")
     copies = F.col("whole") + (F.col("more") | F.coalesce("last", F.lit(False))).cast("long")
     copies = F.when(F.size("sources") > 0, F.least(copies, F.lit(max_copies))).otherwise(0)
     source_info = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in names], "source string, source_size long, target double")
