@@ -209,7 +209,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(at)), pa.array(codes[best], pa.string()), pa.array(p)], names=schema.names)
 
-    return docs.select("*", F.col(text).alias("_text")).mapInArrow(run, schema)
+    inner = [f"_c{j}" for j in range(at)]  # so that no name can clash
+    return docs.toDF(*inner).select(*inner, F.col(inner[docs.columns.index(text)]).alias("_text")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, held_mod: int = 4, held_rest: int = 2, per_language: int = 500, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

@@ -42,15 +42,16 @@ SELECT doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_exact, 0)::I
 FROM documents LEFT JOIN kept USING (doc_id)"""
 
 SUFFIXES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-p AS (SELECT doc_id, n, j, substr(h, 400 * j + 1, 1198) AS c FROM (SELECT doc_id, h, n, unnest(range((n - 400) // 200 + 1)) AS j FROM d WHERE n >= 400)),
-w AS (SELECT doc_id, 200 * j + k AS i, hash(substr(c, 2 * k + 1, 800)) AS x FROM (SELECT *, unnest(range(200)) AS k FROM p) WHERE 200 * j + k + 400 <= n),
-hit AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) r USING (x)),
-run AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, (i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > 400)::INT AS fresh FROM hit)),
-span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY doc_id, g),
-part AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM span),
-cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS z, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM part JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id)"""
+p AS (SELECT doc_id, n, j, size, substr(h, 400 * j + 1, 398 + 2 * size) AS c FROM (SELECT doc_id, h, n, size, unnest(range((n - size) // 200 + 1)) AS j FROM d, (VALUES (400), (256)) s(size) WHERE n >= size)),
+w AS (SELECT doc_id, size, 200 * j + k AS i, hash(substr(c, 2 * k + 1, 2 * size)) AS x FROM (SELECT *, unnest(range(200)) AS k FROM p) WHERE 200 * j + k + size <= n),
+hit AS (SELECT doc_id, size, i FROM w SEMI JOIN (SELECT size, x FROM w GROUP BY size, x HAVING count(*) > 1) r USING (size, x)),
+run AS (SELECT doc_id, size, i, sum(fresh) OVER (PARTITION BY doc_id, size ORDER BY i) AS g FROM (SELECT doc_id, size, i, (i - lag(i, 1, -1000) OVER (PARTITION BY doc_id, size ORDER BY i) > size)::INT AS fresh FROM hit)),
+span AS (SELECT doc_id, size, min(i) AS a, max(i) + size AS b FROM run GROUP BY doc_id, size, g),
+part AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM span WHERE size = 400),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS z, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM part JOIN d USING (doc_id) GROUP BY doc_id),
+told AS (SELECT doc_id, sum(b - a)::BIGINT AS n_passage FROM span WHERE size = 256 GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256, coalesce(n_passage, 0)::BIGINT AS n_passage
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN told USING (doc_id)"""
 
 _SHARES = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
 REPETITION = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),

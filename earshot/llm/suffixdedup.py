@@ -452,13 +452,21 @@ def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text", hot
     return shared(spans.mapInArrow(_merge, "_uid long, starts array<long>, ends array<long>"), spark)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False, hot: int = _HOT) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of docs; with digest, kept_sha256 instead of kept."""
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False, hot: int = _HOT, passage: int | None = None) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of docs; with digest, kept_sha256 instead of kept.
+
+    With passage, also n_passage: the bytes covered by repeated strings of that (shorter) length, which are told but not removed.
+    """
     spark = docs.sparkSession
     placed = place(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     spans = repeated_spans(placed, length, "_text", hot)
     small = (spans.agg(F.sum(F.size("starts") * 16 + 32)).first()[0] or 0) <= _BROADCAST_BYTES
-    joined = placed.join(F.broadcast(spans) if small else spans, "_uid", "left").select("_key", "_text", "starts", "ends")
+    joined = placed.join(F.broadcast(spans) if small else spans, "_uid", "left").select("_uid", "_key", "_text", "starts", "ends")
+    if passage:
+        covered = repeated_spans(placed, passage, "_text", hot).select("_uid", F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_passage"))
+        joined = joined.join(F.broadcast(covered) if small else covered, "_uid", "left").withColumn("n_passage", F.coalesce("n_passage", F.lit(0).cast("long")))
+    joined = joined.drop("_uid")
+    more = ["n_passage"] * bool(passage)
     kind, last = dict(docs.select(key).dtypes)[key], ("kept_sha256 string" if digest else "kept binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,6 +482,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
                     removed.append(int(buf.off[n + 1] - buf.off[n]) - len(t))
                     kept.append(hashlib.sha256(t).hexdigest() if digest else t)
                 n_spans = [len(x or ()) for x in starts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(buf.off)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", last.split()[0]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(buf.off)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary()), *(batch.column(4).slice(lo, hi - lo) for _ in more)], names=[key, "n_bytes", "n_removed", "n_spans", last.split()[0], *more])
 
-    return joined.mapInArrow(run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, {last}")
+    return joined.mapInArrow(run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, {last}" + "".join(f", {c} long" for c in more))
