@@ -36,11 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Writes df to the shared folder, which cuts its lineage, and returns what reads it."""
+    """Writes df to the shared folder, which cuts its lineage, gives up the shuffle files behind it, and returns what reads it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    _release(df)
+    return written
+
+
+def _release(written: DataFrame) -> None:
+    """Gives up the shuffle files of what has been written (with adaptive execution; else Spark's cleaner does so later)."""
+    plan, cleaner = written._jdf.queryExecution().executedPlan(), written.sparkSession.sparkContext._jsc.sc().cleaner()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and cleaner.isDefined():
+        for k in list(plan.context().shuffleIds().keySet().toArray()):
+            cleaner.get().doCleanupShuffle(k, True)
 
 
 def _one_parquet_scan(docs: DataFrame) -> bool:

@@ -12,8 +12,8 @@ mean log probability of a held-out token, after 50 rounds at most.
 At scale: texts are handled in units of about 4 MB. A unit sends its distinct words, bigrams and trigrams with
 their counts, so a hot one is sent once by each, in packed blocks by hash range (sorted keys as differences); the
 task of a range sums them and answers each unit with the sums in the order of its keys, at most a byte for most.
-The counts grow with the corpus and none of them are dropped, gathered by the driver or broadcast. The files of
-the first shuffle are given up once the answers are written. Texts meet the answers by unit. The
+The counts grow with the corpus and none of them are dropped, gathered by the driver or broadcast. Shuffle files are given
+up once what they lead to is written. Texts meet the answers by unit. The
 count of a history is that of the word or bigram before the token, as something follows each of them. Grams are
 known by 64-bit hashes. Units are formed twice, from the same rows in the same splits (their number is held for the session); if they
 ever differed, the job would end with an error, not with other scores.
@@ -304,14 +304,6 @@ def learn_weights(events: DataFrame, v: int) -> np.ndarray:
     return weights * (1 - 1e-4) + np.array([0, 0, 0, 1e-4])
 
 
-def _release(written: DataFrame) -> None:
-    """Gives up the shuffle files of what has been written (with adaptive execution; else Spark's cleaner does so later)."""
-    plan, cleaner = written._jdf.queryExecution().executedPlan(), written.sparkSession.sparkContext._jsc.sc().cleaner()
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and cleaner.isDefined():
-        for k in list(plan.context().shuffleIds().keySet().toArray()):
-            cleaner.get().doCleanupShuffle(k, True)
-
-
 def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score of every row of docs.
 
@@ -325,7 +317,6 @@ def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, text: str
     units = placed.select("_uid", text, F.when(crc_mod(key, held_mod) == held_rest, 0).when(left, 2).otherwise(1).alias("kind"))
     counted = units.mapInArrow(_send_grams(blocks), _KEYS).repartition(blocks, "bucket").mapInArrow(_answer(blocks), _SUMS + "".join(f", {x} long" for x in _STATS))
     answers = shared(counted, spark)
-    _release(counted)
     n, v, n_texts, n_kept, kept_texts = (x or 0 for x in answers.agg(*(F.sum(x) for x in _STATS)).first())
 
     def met(only_left: bool) -> DataFrame:
@@ -341,7 +332,6 @@ def lm_scores(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, text: str
     if n:
         told = met(True).mapInArrow(held, "bucket binary, p binary")
         weights = learn_weights(shared(told, spark), v)
-        _release(told)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, doc, new, counts in _meet(batches, blocks, 0):

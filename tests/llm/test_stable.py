@@ -227,7 +227,7 @@ def test_pipeline_stages(spark, table, tmp_path):
         own = [r[0] for r in rows if r[3] == s]
         assert abs(sum(words[k] * copies[k] for k in own) - want) <= max([words[k] for k in own])
     ids = {r["doc_id"] for r in cp.language(spark, docs, "").collect()}
-    assert ids <= {r[0] for r in rows if r[1]} and 900 in ids
+    assert ids <= {r[0] for r in rows if r[1]}
     assert cp.lines(spark, docs, "").columns == docs.columns
     now = table([])
     for _, stage in cp.STAGES:
