@@ -21,8 +21,10 @@ aligned so that equal strings stand in the same column:
 
 A core with many different stretches (counted by 16-bit hashes in step 2, so exact copies don't count) would gather
 them all in one task. Its windows are dealt into finer kinds, whose cores are longer and whose stretches are shorter: 16
-from `hot` different stretches on, and from `hot * 16` on one for each window, where equal cores are equal
-windows and no columns are needed. So a task builds columns for about `hot * 16` strings of a core at most, however common it is.
+kinds from `hot[0]` different hashes on (16,000 are about 19,000 stretches), and from `hot[1]` on (60,000: about 160,000) one for
+each window, where equal cores are equal windows, so that no bytes are sent and no columns are needed. So a task
+builds columns for about 160,000 short strings of a core at most, however common it is; finer kinds take more
+shuffled bytes (16 strings of 411 bytes for one of 584), which is why they are kept for such cores.
 
 What the named method has and this has not: columns decide only for groups of unequal stretches (equality of digests
 decides the others), they are built in memory from the strings that a shuffle brought together, only marks
@@ -51,7 +53,7 @@ from .textbuf import Buf, chunks, mix
 _GRAM = 32
 _BROADCAST_BYTES = 16 << 20
 _BLOCK_STRINGS = 20_000
-_HOT = 1_000
+_HOT = 16_000, 60_000
 SCHEMA = "bucket int, base long, a binary, b binary"
 _FOUND = np.dtype([("key", "<u4"), ("doc", "<u2"), ("p", "<u4"), ("around", "<u2")])
 _BACK = np.dtype([("doc", "<u2"), ("p", "<u4"), ("level", "u1")])
@@ -186,7 +188,7 @@ def _of_base(base: int, blocks: int) -> int:
     return int(mix(np.array([base], np.uint64))[0] % np.uint64(blocks))
 
 
-def _repeated(blocks: int, hot: int):
+def _repeated(blocks: int, hot: tuple[int, int]):
     """Sends back the cores that occur more than once, with the level to which their windows are to be dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def _repeated(blocks: int, hot: int):
             many = np.diff(np.append(at, len(key)))[group] > 1
             different = np.add.reduceat(np.append(True, both[1:] != both[:-1]).astype(np.int64), at)[group]
             level = np.empty(len(key), np.uint8)
-            level[order] = np.where(many, (different > hot).astype(np.uint8) + (different > 16 * hot), 255)
+            level[order] = np.where(many, (different > hot[0]).astype(np.uint8) + (different > hot[1]), 255)
             to = 0
             for base, x in parts:
                 own, to = level[to : to + len(x)], to + len(x)
@@ -295,8 +297,9 @@ def _stretches(shape: Shape, blocks: int):
                             if len(sent) > 100_000:
                                 sent.clear()
                             sent.add(digest)
-                            strings.append((q, digest, first, end, k, c0, c1, cut))
-                            bytes_ += len(cut)
+                            body = cut if c1 > c0 else b""  # a window by itself needs no columns
+                            strings.append((q, digest, first, end, k, c0, c1, body))
+                            bytes_ += len(body)
                     x["digest"] = np.frombuffer(b"".join(digests), "V16")
                     members.append(x)
                     count += len(x)
@@ -361,7 +364,7 @@ def _intervals(shape: Shape, blocks: int):
             x = np.concatenate(members)
             head = np.concatenate([s[0] for s in strings])
             data = np.frombuffer(b"".join(s[1] for s in strings), np.uint8)
-            size = head["hi"].astype(np.int64) - head["lo"]
+            size = np.where(head["c1"] > head["c0"], head["hi"].astype(np.int64) - head["lo"], 0)
             off = np.concatenate([[0], np.cumsum(size)])
             # one of each (core, stretch)
             name = np.frombuffer(head["digest"].tobytes(), "<u8").reshape(-1, 2)
@@ -385,7 +388,7 @@ def _intervals(shape: Shape, blocks: int):
             a = np.where(count > 1, lo, 1 << 30)
             b = np.where(count > 1, np.minimum(last, hi - shape.length), -1)
             group = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            crowd = np.flatnonzero(np.bincount(group)[group] > 1)
+            crowd = np.flatnonzero((np.bincount(group)[group] > 1) & (last > 0))
             at = 0
             while at < len(crowd):  # blocks of whole groups
                 to = min(at + _BLOCK_STRINGS, len(crowd))
@@ -437,7 +440,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.ListArray.from_arrays(cut, pa.array(a)), pa.ListArray.from_arrays(cut, pa.array(end))], names=["_uid", "starts", "ends"])
 
 
-def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text", hot: int = _HOT) -> DataFrame:
+def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text", hot: tuple[int, int] = _HOT) -> DataFrame:
     """_uid, starts and ends (bytes) of the maximal runs covered by repeated strings; rows without any have none. placed: from common.place."""
     spark: SparkSession = placed.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -452,7 +455,7 @@ def repeated_spans(placed: DataFrame, length: int = 400, text: str = "text", hot
     return shared(spans.mapInArrow(_merge, "_uid long, starts array<long>, ends array<long>"), spark)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False, hot: int = _HOT, passage: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id", digest: bool = False, hot: tuple[int, int] = _HOT, passage: int | None = None) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of docs; with digest, kept_sha256 instead of kept.
 
     With passage, also n_passage: the bytes covered by repeated strings of that (shorter) length, which are told but not removed.

@@ -106,10 +106,10 @@ def test_place(spark, table):
     assert place(df.where("doc_id < 10"), "u").select("u").distinct().count() == 10
 
 
-@pytest.mark.parametrize("hot", [1, 3])
+@pytest.mark.parametrize("hot", [(1, 9), (1, 1), (3, 70)])
 def test_hot_cores(table, hot):
     """A common passage with many different surroundings, dealt to finer kinds."""
-    rng = random.Random(hot)
+    rng = random.Random(sum(hot))
     passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
     rows = [(k, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 40))) + passage[rng.randint(0, 30) : rng.randint(90, 130)] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 40))), None, None, None) for k in range(70)]
     rows += [(100 + k, rows[0][1], None, None, None) for k in range(5)]
