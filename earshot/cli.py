@@ -15,15 +15,28 @@ from earshot.plans.planner import BudgetExceeded, run_benchmark
 from earshot.plans.report import build_report
 from earshot.sources.audio import plain_path, read_audio
 from earshot.sources.manifest import read_manifest, read_results, select_conditions, write_results
-from earshot.sources.samples import sample_corpus
+from earshot.sources.samples import SENTENCES, sample_corpus, write_corpus
 
 
 def _session() -> SparkSession:
     return SparkSession.builder.appName("earshot").config("spark.speculation", "false").getOrCreate()
 
 
+def _conditions(names: list[str] | None):
+    """The conditions asked for; ends with a message and code 2 where one is unknown."""
+    try:
+        return select_conditions(names)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        raise SystemExit(2) from None
+
+
 def _finish(results, plan: dict, out: str, report: bool, normalizer: NormalizerConfig) -> int:
     path = write_results(results, plan, out)
+    if plan.get("skipped_utterances"):
+        print(f"utterances without readable audio: {plan['skipped_utterances']}", file=sys.stderr)
+    if plan.get("stopped_early"):
+        print(f"ended at the budget, after ${plan['actual_cost_usd']:.2f}", file=sys.stderr)
     print(f"results: {path}")
     if report:
         print(f"report: {build_report(read_results(results.sparkSession, path)[1], plan, out, normalizer)['markdown']}")
@@ -31,7 +44,7 @@ def _finish(results, plan: dict, out: str, report: bool, normalizer: NormalizerC
 
 
 def demo(a: argparse.Namespace) -> int:
-    results, plan = run_benchmark(sample_corpus(_session(), a.n), ["mock"], select_conditions(a.conditions), max_cost_usd=a.max_cost)
+    results, plan = run_benchmark(sample_corpus(_session(), a.n), ["mock"], _conditions(a.conditions), max_cost_usd=a.max_cost)
     return _finish(results, plan, a.out, True, NormalizerConfig())
 
 
@@ -49,9 +62,9 @@ def load(spark: SparkSession, path: str):
 def run(a: argparse.Namespace) -> int:
     normalizer = NormalizerConfig(strip_filler=a.strip_filler)
     try:
-        results, plan = run_benchmark(load(_session(), a.manifest), a.providers, select_conditions(a.conditions), normalizer, a.max_cost, a.dry_run, save_to=f"{a.out}/transcripts")
+        results, plan = run_benchmark(load(_session(), a.manifest), a.providers, _conditions(a.conditions), normalizer, a.max_cost, a.dry_run, save_to=f"{a.out}/transcripts")
     except BudgetExceeded as e:
-        print(f"refusing to run: {e}", file=sys.stderr)
+        print(f"not started: {e}", file=sys.stderr)
         return 2
     if a.dry_run:
         print(json.dumps(plan, indent=2))
@@ -65,6 +78,18 @@ def report(a: argparse.Namespace) -> int:
     return 0
 
 
+def corpus(a: argparse.Namespace) -> int:
+    """Writes the synthetic corpus; a folder that has a manifest is left as it is."""
+    print(f"manifest: {write_corpus(_session(), a.out, a.n)}")
+    return 0
+
+
+def spoken_corpus(a: argparse.Namespace) -> int:
+    """Speech from a text-to-speech program of the system isn't supported; code 3 as where none is installed."""
+    print(f"no text-to-speech backend; the {sum(map(len, SENTENCES.values()))} sentences are in earshot.sources.samples", file=sys.stderr)
+    return 3
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="earshot", description="Measures speech recognition on telephone-grade audio.")
     sub = p.add_subparsers(required=True)
@@ -89,7 +114,14 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--out")
     t.add_argument("--strip-filler", action="store_true")
     t.set_defaults(do=report)
-    a = p.parse_args(argv)
+    c = sub.add_parser("corpus", help="write the synthetic corpus as WAV files with a manifest")
+    c.add_argument("--out", required=True)
+    c.add_argument("--n", type=int, default=3)
+    c.set_defaults(do=corpus)
+    sub.add_parser("tts-corpus", help="spoken corpus; needs a text-to-speech backend, and there is none").set_defaults(do=spoken_corpus)
+    a, rest = p.parse_known_args(argv)
+    if rest and a.do is not spoken_corpus:
+        p.error(f"unknown arguments: {' '.join(rest)}")
     return a.do(a)
 
 

@@ -114,17 +114,26 @@ def mix(samples: Column, noise: Column, gain: Column) -> Column:
     return F.zip_with(samples, noise, lambda x, z: x.cast("double") + z * gain)
 
 
-def loss_states(uniforms: Column, loss_rate: float, burst: float = 3.0) -> Column:
-    """1 for lost frames of a two-state chain: good turns bad below p, bad stays bad above q = 1 / burst."""
+def loss_states(uniforms: Column, loss_rate: float, burst: float = 3.0, chunk: int = 256) -> Column:
+    """1 for lost frames of a two-state chain: good turns bad below p, bad stays bad above q = 1 / burst.
+
+    Frames are folded in chunks, so that appending a state copies a chunk at most and the cost is linear in the frames.
+    """
     q = 1.0 / burst
     p = loss_rate * q / max(1e-9, 1.0 - loss_rate)
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("bad"))
 
     def step(acc: Column, r: Column) -> Column:
         bad = F.when(acc["bad"] == 1, (r > q).cast("int")).otherwise((r < p).cast("int"))
         return F.struct(F.concat(acc["out"], F.array(bad)).alias("out"), bad.alias("bad"))
 
-    return F.aggregate(uniforms, zero, step, lambda acc: acc["out"])
+    def whole(acc: Column, part: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("out"), acc["bad"].alias("bad"))
+        return let(F.aggregate(part, start, step), lambda x: F.struct(F.concat(acc["out"], F.array(x["out"])).alias("out"), x["bad"].alias("bad")))
+
+    n = F.ceil(F.size(uniforms) / chunk).cast("int")
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(uniforms, k * chunk + 1, chunk))).otherwise(F.array().cast("array<array<double>>"))
+    zero = F.struct(F.array().cast("array<array<int>>").alias("out"), F.lit(0).alias("bad"))
+    return F.when(uniforms.isNotNull(), F.aggregate(parts, zero, whole, lambda acc: F.flatten(acc["out"])))
 
 
 def real_time_factor(latency: Column, audio: Column) -> Column:

@@ -43,21 +43,20 @@ def slice_pivot(rows: DataFrame, by: str, providers: list[str], min_words: int =
     return x.where(F.coalesce(*[F.col(f"`{p}`") for p in providers]).isNotNull())
 
 
-def upper_median(value: Column, where: Column | None = None) -> Column:
-    """The element at half the length of the sorted values; 0.0 if there are none."""
-    v = F.array_sort(F.collect_list(value if where is None else F.when(where, value)))
-    return F.when(F.size(v) == 0, F.lit(0.0)).otherwise(F.element_at(v, F.when(F.size(v) == 0, 1).otherwise((F.size(v) / 2).cast("int") + 1)))
+def exact_upper_median(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """by and median_{value}: the element at half the length of a group's sorted finite values, 0.0 where it has none.
 
-
-def exact_upper_median(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """upper_median by ranks instead of a list, for groups of any size: counts by value, then a running sum over the distinct values."""
+    By ranks, for groups of any size: counts by value, then a running sum over the distinct values.
+    """
     from pyspark.sql import Window
 
-    counts = rows.where(F.col(value).isNotNull() & (F.col(value) != F.lit(INF))).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(by).orderBy(value)
-    ranked = counts.select(by, value, (F.sum("n").over(upto)).alias("to"), F.sum("n").over(Window.partitionBy(by)).alias("all"), "n")
+    finite = F.when(F.col(value) != F.lit(INF), F.col(value))
+    counts = rows.select(*by, finite.alias(value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col(value).isNotNull(), F.col("n")).otherwise(0))
+    upto = Window.partitionBy(*by).orderBy(value)  # a group's nulls come first, with no weight
+    ranked = counts.select(*by, value, F.sum("n").over(upto).alias("to"), F.sum("n").over(Window.partitionBy(*by)).alias("all"), "n")
     half = F.floor(F.col("all") / 2)
-    return ranked.where((F.col("to") > half) & (F.col("to") - F.col("n") <= half)).select(by, F.col(value).alias(f"median_{value}"))
+    middle = F.when((F.col("to") > half) & (F.col("to") - F.col("n") <= half), F.col(value))
+    return ranked.groupBy(*by).agg(F.coalesce(F.max(middle), F.lit(0.0)).alias(f"median_{value}"))
 
 
 def headline(rows: DataFrame, baseline: str = "wideband_clean", channel: str = "telephony_clean") -> DataFrame:

@@ -8,15 +8,16 @@ the diagonal; of equal costs a substitution comes before a deletion, and that be
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions.text import NormalizerConfig, char_tokens, normalize, word_tokens
 from earshot.functions.types import COUNTS
 
 _CELLS = 2_000_000
-_DEL, _INS = np.int64(1) << 21, np.int64(1) << 42
+_FIELD = 21  # bits of each of three counts
+_DEL, _INS = np.int64(1) << _FIELD, np.int64(1) << 2 * _FIELD
 
 
 def _fill(ref: np.ndarray, hyp: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -59,35 +60,48 @@ def _fill(ref: np.ndarray, hyp: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return out
 
 
-def align_counts(refs: list, hyps: list) -> np.ndarray:
-    """Rows of substitutions, deletions, insertions and reference length for lists of token sequences."""
-    n = np.array([len(r) for r in refs], np.int64)
-    m = np.array([len(h) for h in hyps], np.int64)
+def align_codes(ref: np.ndarray, n: np.ndarray, hyp: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of substitutions, deletions, insertions and reference length for sequences of token codes, one after the other, and their lengths."""
+    if len(n) and (n + m).max() >= 1 << _FIELD:
+        raise ValueError(f"sequences of {1 << _FIELD} tokens and more can't be aligned")
     packed = np.zeros(len(n), np.int64)
+    start, begin = np.cumsum(n) - n, np.cumsum(m) - m
     order = np.lexsort((m, n))
     at = 0
     while at < len(order):
-        size = (n[order[at]] + 1) * 1
+        size = n[order[at]] + 1
         to = at + 1
         while to < len(order) and to - at < 512 and (to - at + 1) * (n[order[to]] + 1) <= _CELLS // 4 and n[order[to]] <= 1.3 * size + 4:
             to += 1
         part = order[at:to]
-        codes: dict = {}
-        rows, cols = int(n[part].max()), int(m[part].max(initial=0))
-        ref, hyp = np.full((len(part), rows), -1, np.int32), np.full((len(part), cols), -2, np.int32)
-        for k, p in enumerate(part.tolist()):
-            ref[k, : n[p]] = [codes.setdefault(t, len(codes)) for t in refs[p]]
-            hyp[k, : m[p]] = [codes.setdefault(t, len(codes)) for t in hyps[p]]
-        packed[part] = _fill(ref, hyp, n[part], m[part])
+        padded = []
+        for codes, first, length, filler in ((ref, start, n, -1), (hyp, begin, m, -2)):
+            size, table = length[part], np.full((len(part), int(length[part].max(initial=0))), filler, np.int32)
+            inside = np.arange(table.shape[1])[None, :] < size[:, None]
+            table[inside] = codes[np.repeat(first[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            padded.append(table)
+        packed[part] = _fill(*padded, n[part], m[part])
         at = to
-    mask = (1 << 21) - 1
-    return np.column_stack([packed & mask, packed >> 21 & mask, packed >> 42 & mask, n])
+    mask = (1 << _FIELD) - 1
+    return np.column_stack([packed & mask, packed >> _FIELD & mask, packed >> 2 * _FIELD & mask, n])
+
 
+def align_counts(refs: list, hyps: list) -> np.ndarray:
+    """As align_codes, for lists of token sequences."""
+    codes: dict = {}
+    numbers = [np.array([codes.setdefault(t, len(codes)) for x in side for t in x], np.int32) for side in (refs, hyps)]
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (refs, hyps))
+    return align_codes(numbers[0], n, numbers[1], m)
 
-@F.pandas_udf(COUNTS)
-def _aligned(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    x = align_counts([() if r is None else list(r) for r in ref], [() if h is None else list(h) for h in hyp])
-    return pd.DataFrame(x, columns=COUNTS.names)
+
+@F.arrow_udf(COUNTS)
+def _aligned(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Tokens of a batch become codes in one pass; null counts as no tokens."""
+    sides = [x.flatten() for x in (ref, hyp)]
+    codes = pa.concat_arrays([x.cast(pa.string()) for x in sides]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    n, m = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp))
+    x = align_codes(codes[: len(sides[0])], n, codes[len(sides[0]) :], m)
+    return pa.StructArray.from_arrays([pa.array(x[:, j], pa.int64()) for j in range(4)], names=COUNTS.names)
 
 
 def error_counts(ref_tokens: Column, hyp_tokens: Column) -> Column:
@@ -111,3 +125,16 @@ def score(results: DataFrame, cfg: NormalizerConfig = NormalizerConfig(), unicod
     x = results.drop(*old).withColumn("_e", word_errors(F.col("reference"), F.col("hypothesis"), cfg, unicode))
     x = x.select("*", "_e.substitutions", "_e.deletions", "_e.insertions", F.col("_e.reference_length").alias("reference_words")).drop("_e")
     return x.withColumn("wer", rate(F.col("substitutions") + F.col("deletions") + F.col("insertions"), F.col("reference_words")))
+
+
+def corpus_wer(pairs: DataFrame | list[tuple[str, str]], cfg: NormalizerConfig = NormalizerConfig()) -> DataFrame:
+    """Pooled counts and wer of all pairs (reference, hypothesis), one row."""
+    from .aggregate import pooled
+
+    return pooled(score(_pairs(pairs), cfg))
+
+
+def _pairs(pairs: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    if isinstance(pairs, DataFrame):
+        return pairs
+    return SparkSession.active().createDataFrame(pairs, "reference string, hypothesis string")

@@ -4,20 +4,25 @@ Native: draws come from integer arithmetic on (resample, place), so they need no
 partitionings, and the whole runs in the JVM. Counts of a cell are packed in an array in the order of
 utterances, resamples are dealt out, and each looks its draws up by place.
 
-Exact: the draws of Python's Mersenne Twister, a pandas group for each cell.
+Exact: the draws of Python's Mersenne Twister, a pandas group for each cell, which holds two numbers for each of the cell's
+utterances and a bounded number of draws at a time.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.functions.text import NormalizerConfig
+
 from .aggregate import rate
+from .align import score
 
 _P = 2147483647
 
@@ -54,22 +59,35 @@ def bootstrap_native(rows: DataFrame, by: list[str], order: str, errors: str = "
     return sampled.select(*by, "n", F.element_at("_r", lo + 1).alias("lo"), F.element_at("_r", hi + 1).alias("hi"))
 
 
-@lru_cache(2)
-def twister_draws(n: int, resamples: int, seed: int) -> np.ndarray:
-    """What random.Random(seed).randrange(n) gives, a row for each resample; made in bulk from the generator's raw words.
+_DRAWS = 4_000_000
+
+
+def twister_draws(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """What random.Random(seed).randrange(n) gives, a row for each resample, some rows at a time; made in bulk from the generator's raw words.
 
     A draw is the leading bits of a word, as many as n has, and is drawn again while it is n or more.
     """
     state = random.Random(seed).getstate()[1]
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    need, got, shift = resamples * n, [], np.uint64(32 - n.bit_length())
-    while need > 0:
-        x = words.random_raw(2 * need + 16) >> shift
-        x = x[x < n][:need].astype(np.int32)
-        got.append(x)
-        need -= len(x)
-    return np.concatenate(got).reshape(resamples, n)
+    shift, over = np.uint64(32 - n.bit_length()), np.zeros(0, np.int32)
+    step = max(1, _DRAWS // n)
+    for lo in range(0, resamples, step):
+        need = min(step, resamples - lo) * n
+        got = [over]
+        have = len(over)
+        while have < need:
+            x = words.random_raw(2 * (need - have) + 16) >> shift
+            got.append(x[x < n].astype(np.int32))
+            have += len(got[-1])
+        x = np.concatenate(got)
+        over = x[need:]
+        yield x[:need].reshape(-1, n)
+
+
+@lru_cache(2)
+def _kept_draws(n: int, resamples: int, seed: int) -> list[np.ndarray]:
+    return list(twister_draws(n, resamples, seed))
 
 
 def percentile_interval(errors: np.ndarray, reference: np.ndarray, resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> tuple[float, float]:
@@ -77,8 +95,9 @@ def percentile_interval(errors: np.ndarray, reference: np.ndarray, resamples: in
     n = len(errors)
     if not n:
         return 0.0, 0.0
-    picks = twister_draws(n, resamples, seed)
-    e, r = np.asarray(errors)[picks].sum(1), np.asarray(reference)[picks].sum(1)
+    draws = _kept_draws if n * resamples <= _DRAWS else twister_draws  # cells of one size share small draws
+    sums = [(np.asarray(errors)[x].sum(1), np.asarray(reference)[x].sum(1)) for x in draws(n, resamples, seed)]
+    e, r = (np.concatenate([x[j] for x in sums]) for j in (0, 1))
     with np.errstate(divide="ignore", invalid="ignore"):
         rates = np.sort(np.where(r == 0, np.where(e == 0, 0.0, np.inf), e / r))
     lo, hi = bounds(resamples, confidence)
@@ -96,3 +115,14 @@ def bootstrap_exact(rows: DataFrame, by: list[str], order: str, errors: str = "e
 
     schema = ", ".join(f"{c} {types[c]}" for c in by) + ", n long, lo double, hi double"
     return rows.select(*by, order, errors, reference).groupBy(*by).applyInPandas(one, schema)
+
+
+def bootstrap_ci(pairs: DataFrame | list[tuple[str, str]], cfg: NormalizerConfig = NormalizerConfig(), resamples: int = 1000, confidence: float = 0.95, seed: int = 0, order: str | None = None) -> DataFrame:
+    """n, lo and hi of the pooled wer of all pairs, one row (0 and 0 without any); order: the column that numbers a table's pairs."""
+    if not isinstance(pairs, DataFrame):
+        pairs, order = SparkSession.active().createDataFrame([(k, *p) for k, p in enumerate(pairs)], "_ord long, reference string, hypothesis string"), "_ord"
+    if order is None:
+        raise ValueError("a table needs a column that numbers its pairs")
+    rows = score(pairs, cfg).select(order, (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("errors"), "reference_words", F.lit(0).alias("_cell"))
+    found = bootstrap_exact(rows, ["_cell"], order, resamples=resamples, confidence=confidence, seed=seed)
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("lo", "hi")))

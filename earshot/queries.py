@@ -5,7 +5,7 @@ Inputs are derived by integer arithmetic that both sides share, always over whol
 * facts: result rows, every turn of conversations under three conditions and two providers;
 * pairs: every text of benchmark with three hypotheses in which words are dropped, reversed or doubled;
 * signals: the vectors of embeddings as short signals;
-* numbers: a fixed list of sentences with number words, contractions and fillers.
+* numbers: the turns of conversations, in which some words are replaced by number words, contractions and fillers.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from earshot.operators.bootstrap import bootstrap_exact, bootstrap_native
 from earshot.plans.planner import budget_cut, cost_rollup, plan_grid, transcribe
 from earshot.providers import providers_table
 from earshot.sources.manifest import conditions_table
-from earshot.sources.samples import sample_rows, voice_rows
+from earshot.sources.samples import SENTENCES, VOICES, sample_rows, voice_rows
 from earshot.sources.store import spread
 
 CONDITIONS = ["wideband_clean", "telephony_clean", "telephony_noisy"]
 SPOIL = [(2, 4, 1), (5, 12, 3), (12, 25, 8)]
-SENTENCES = ["one hundred and two", "one hundred two", "nineteen ninety five", "oh no", "hundred cats", "two thousand three hundred", "zero hundred", "one two hundred", "four eight two", "i need twenty five of them", "Claim number four eight two!", "three thousand", "I can't, won't and don't; let's say it's fine", "the bandit's 'dog", "um i uh need help", "", "they're we've i'll you'd i'm"]
+ODD_WORDS = ["one", "hundred", "and", "two", "twenty", "five", "oh", "nineteen", "thousand", "um", "uh", "can't", "let's", "it's", "they're", "ninety"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +113,7 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rtf_upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).groupBy("provider", "condition").agg(F.round(agg.upper_median(F.col("rtf"), F.col("rtf") != F.lit(agg.INF)), 6).alias("median_rtf"))
+    return agg.exact_upper_median(facts(spark, d), "rtf", "provider", "condition").select("provider", "condition", _r("median_rtf"))
 
 
 def failure_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,8 @@ def failed_calls(spark: SparkSession, d: str) -> DataFrame:
 def event_calls(spark: SparkSession, d: str) -> DataFrame:
     """The event log as calls: users deal out to providers, event types are conditions, values latencies."""
     e = _table(spark, d, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"), F.col("event_type").alias("condition"), "value", (F.col("event_type") == "error").alias("bad"))
-    return e.groupBy("provider", "condition").agg(F.count(F.lit(1)).alias("calls"), F.count_if("bad").alias("failed"), F.round(agg.upper_median(F.col("value")), 6).alias("median_value"))
+    calls = e.groupBy("provider", "condition").agg(F.count(F.lit(1)).alias("calls"), F.count_if("bad").alias("failed"))
+    return calls.join(agg.exact_upper_median(e, "value", "provider", "condition"), ["provider", "condition"]).select("provider", "condition", "calls", "failed", _r("median_value"))
 
 
 # alignment
@@ -253,26 +254,33 @@ for _a, _b in [("can''t", "cannot"), ("won''t", "will not"), ("n''t", " not"), (
 _NUMBERS = "'zero':0,'oh':0,'one':1,'two':2,'three':3,'four':4,'five':5,'six':6,'seven':7,'eight':8,'nine':9,'ten':10,'eleven':11,'twelve':12,'thirteen':13,'fourteen':14,'fifteen':15,'sixteen':16,'seventeen':17,'eighteen':18,'nineteen':19,'twenty':20,'thirty':30,'forty':40,'fifty':50,'sixty':60,'seventy':70,'eighty':80,'ninety':90"
 
 
-def _sentences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SENTENCES)), "k long, sentence string")
+def odd_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn with two words in three replaced by number words, contractions and fillers, by place and id."""
+    odd = F.array(*map(F.lit, ODD_WORDS))
+    place = lambda k: (F.col("conv_id") * 31 + F.col("turn") * 17 + k.cast("long") * 7 + F.floor(k / 3).cast("long")) % (3 * len(ODD_WORDS) // 2)
+    said = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w, k: F.when(place(k) < len(ODD_WORDS), F.element_at(odd, place(k).cast("int") + 1)).otherwise(w))
+    return spread(_table(spark, d, "conversations")).select("conv_id", "turn", F.array_join(said, " ").alias("said"))
+
+
+_PLACE = "((conv_id * 31 + turn * 17 + k * 7 + k // 3) % 24)"
+_ODD = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ODD_WORDS) + "]"
+ODD_SQL = f"SELECT conv_id, turn, array_to_string(list_transform(range(len(w)), lambda k: CASE WHEN {_PLACE} < 16 THEN {_ODD}[{_PLACE} + 1] ELSE w[k + 1] END), ' ') AS said FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations)"
 
 
 def normalized_plain(spark: SparkSession, d: str) -> DataFrame:
     cfg = NormalizerConfig(spell_out_numbers=False)
-    return _sentences(spark).select("k", normalize(F.col("sentence"), cfg).alias("normalized"))
+    return odd_turns(spark, d).select("conv_id", "turn", normalize(F.col("said"), cfg).alias("normalized"))
 
 
 def normalized_fillers(spark: SparkSession, d: str) -> DataFrame:
     cfg = NormalizerConfig(spell_out_numbers=False, strip_filler=True)
-    return _sentences(spark).select("k", normalize(F.col("sentence"), cfg).alias("normalized"))
+    return odd_turns(spark, d).select("conv_id", "turn", normalize(F.col("said"), cfg).alias("normalized"))
 
 
 def number_words(spark: SparkSession, d: str) -> DataFrame:
-    return _sentences(spark).select("k", normalize(F.col("sentence")).alias("normalized"))
-
+    """Number words folded to figures; held against a word-by-word version by a test, as SQL can't express the folding."""
+    return odd_turns(spark, d).select("conv_id", "turn", "said", normalize(F.col("said")).alias("normalized"))
 
-_VALUES = ", ".join("({}, '{}')".format(k, s.replace("'", "''")) for k, s in enumerate(SENTENCES))
-_EXPECTED = ["100 and 2", "102", "114", "0 no", "hundred cats", "2300", "100", "300", "482", "i need 25 of them", "claim number 482", "3000", "i cannot will not and do not let us say it is fine", "the bandit is wouldog", "um i uh need help", "", "they are we have i will you would i am"]
 
 # signals
 
@@ -392,9 +400,8 @@ ORACLE_SQL = {
     "utterance_errors": f"{PAIRS_SQL} SELECT item_id, c, substitutions, deletions, insertions, reference_words FROM counts",
     "wer_by_condition": f"{PAIRS_SQL}, facts AS (SELECT *, substitutions + deletions + insertions AS errors FROM counts) SELECT c, {_POOL} FROM facts GROUP BY c",
     "normalized_conversations": f"SELECT conv_id, turn, array_to_string(w, ' ') AS normalized, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS n_chars FROM (SELECT conv_id, turn, {_STEPS.format(_CONTRACT.format('text'))} AS w FROM conversations)",
-    "normalized_plain": f"SELECT k, array_to_string({_STEPS.format(_CONTRACT.format('s'))}, ' ') AS normalized FROM (VALUES {_VALUES}) v(k, s)",
-    "normalized_fillers": f"SELECT k, array_to_string(list_filter({_STEPS.format(_CONTRACT.format('s'))}, lambda w: w NOT IN ('uh', 'um', 'erm', 'mm', 'hmm', 'uhh', 'ah')), ' ') AS normalized FROM (VALUES {_VALUES}) v(k, s)",
-    "number_words": "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(_EXPECTED)) + ") v(k, normalized)",
+    "normalized_plain": f"SELECT conv_id, turn, array_to_string({_STEPS.format(_CONTRACT.format('said'))}, ' ') AS normalized FROM ({ODD_SQL})",
+    "normalized_fillers": f"SELECT conv_id, turn, array_to_string(list_filter({_STEPS.format(_CONTRACT.format('said'))}, lambda w: w NOT IN ('uh', 'um', 'erm', 'mm', 'hmm', 'uhh', 'ah')), ' ') AS normalized FROM ({ODD_SQL})",
     "mulaw_codes": f"SELECT vec_id, array_to_string(list_transform(x, lambda v: {_MU}), ',') AS codes FROM {_X}",
     "alaw_codes": f"SELECT vec_id, array_to_string(list_transform(x, lambda v: {_AL}), ',') AS codes FROM {_X}",
     "companded": f"""SELECT vec_id, round({_POWER.format('mu')}, 9) AS mulaw_power, round({_POWER.format('al')}, 9) AS alaw_power FROM (SELECT vec_id,
@@ -408,4 +415,12 @@ ORACLE_SQL = {
     "loss_scan": f"""SELECT vec_id, list_reduce(list_transform(range(len(x)), lambda k: (((vec_id * 7919 + k * 104729 + 13) % 1009) / 1009::DOUBLE)::VARCHAR),
       lambda acc, r: acc || CASE WHEN acc[-1] = '1' THEN CASE WHEN r::DOUBLE > 1.0::DOUBLE / 3 THEN '1' ELSE '0' END ELSE CASE WHEN r::DOUBLE < (0.1::DOUBLE * (1.0::DOUBLE / 3)) / 0.9::DOUBLE THEN '1' ELSE '0' END END, '') AS lost FROM {_X}""",
 }
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_VOICE = ", ".join(f"({k}, {', '.join(map(_quoted, v[:3]))})" for k, v in enumerate(VOICES))
+_SAID = ", ".join(f"({d}, {_quoted(name)}, {k}, {_quoted(x)})" for d, (name, xs) in enumerate(SENTENCES.items()) for k, x in enumerate(xs))
+ORACLE_SQL["corpus_rows"] = f"""WITH v(v, accent, age_band, sex) AS (VALUES {_VOICE}), s(d, domain, n, reference) AS (VALUES {_SAID}),
+  x AS (SELECT *, (v * 3 + d) * 3 + k AS utt_ord FROM v, (SELECT DISTINCT d, domain FROM s), (VALUES (0), (1), (2)) r(k))
+  SELECT utt_ord::INT AS utt_ord, concat_ws('_', accent, age_band, sex, x.domain, k) AS id, reference, accent, age_band, sex, x.domain AS domain FROM x JOIN s ON s.d = x.d AND s.n = (utt_ord + k) % 4"""
+ORACLE_SQL["spoken_corpus_rows"] = f"""WITH s(d, domain, n, reference) AS (VALUES {_SAID}), x AS (SELECT v * 3 + k AS utt_ord, 'v' || v AS accent FROM range(4) a(v), range(3) b(k))
+  SELECT utt_ord::INT AS utt_ord, accent || '_' || lpad(utt_ord::VARCHAR, 3, '0') AS id, accent, domain, reference FROM x JOIN s ON d * 4 + n = utt_ord % 12"""
 ORACLE_SQL |= {f"slice_{c}": _pivot_sql(c) for c in ("accent", "age_band", "domain", "sex")}

@@ -55,12 +55,20 @@ def read_results(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return plan, raw.select(F.posexplode("results").alias("ord", "r")).select("ord", "r.*")
 
 
-def write_results(results: DataFrame, plan: dict, folder: str) -> str:
-    """Writes plan and results as results.json, and the rows as Parquet parted by provider and condition."""
+def write_results(results: DataFrame, plan: dict, folder: str, as_json: bool = True) -> str:
+    """Writes the rows as Parquet parted by provider and condition, and plan and rows as results.json, which passes through the driver row by row.
+
+    Without as_json only plan.json stands beside the Parquet folder, whose path is returned.
+    """
     os.makedirs(folder, exist_ok=True)
     fields = [f.split()[0] for f in RESULT.split(", ")]
     results.write.mode("overwrite").partitionBy("provider", "condition").parquet(f"{folder}/results.parquet")
-    rows = results.orderBy("ord") if "ord" in results.columns else results
+    if not as_json:
+        with open(f"{folder}/plan.json", "w", encoding="utf-8") as f:
+            json.dump(plan, f, indent=2)
+        return f"{folder}/results.parquet"
+    stored = results.sparkSession.read.parquet(f"{folder}/results.parquet")  # so that nothing is computed twice
+    rows = stored.orderBy("ord") if "ord" in results.columns else stored
     path = f"{folder}/results.json"
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"plan": plan, "results": [r.asDict() for r in rows.select(*fields).toLocalIterator()]}, f, indent=2)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 
 from earshot.functions.dsp import filtered
 from earshot.functions.types import SAMPLES
+from earshot.sources.audio import encode_wav
+from earshot.sources.manifest import write_manifest
+from earshot.sources.store import shared
 
 SR = 16000
 # Sentences by domain and voices
@@ -70,3 +76,27 @@ def voice_rows(spark: SparkSession, labels: list[str], per_voice: int = 3) -> Da
     voices = spark.createDataFrame(list(enumerate(labels)), "v int, accent string")
     x = voices.crossJoin(F.broadcast(spark.range(per_voice).withColumnRenamed("id", "k"))).withColumn("utt_ord", (F.col("v") * per_voice + F.col("k")).cast("int"))
     return x.withColumn("s", F.col("utt_ord") % len(every)).join(F.broadcast(sentences), "s").select("utt_ord", F.concat_ws("_", "accent", F.format_string("%03d", "utt_ord")).alias("id"), "accent", "domain", "reference")
+
+
+def write_corpus(spark: SparkSession, folder: str, n_per_group: int = 3) -> str:
+    """Writes the corpus as WAV files with a manifest and returns the manifest's path; one that is there already is kept.
+
+    folder is one that all executors share. Files are named by utterance, so a task that is run again writes the same.
+    """
+    path = os.path.join(os.path.abspath(folder), "manifest.json")
+    if os.path.exists(path):
+        return path
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    rows = sample_corpus(spark, n_per_group).withColumn("content", encode_wav("audio", "sr")).drop("audio")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf.audio_path, pdf.content, strict=True):
+                with open(os.path.join(os.path.dirname(path), name), "wb") as f:
+                    f.write(content)
+            yield pdf.drop(columns="content")
+
+    listing = rows.drop("content")
+    written = shared(rows.mapInPandas(write, listing.schema), spark)
+    write_manifest(written, path, "synthetic", "generated", "formant synthesis")
+    return path

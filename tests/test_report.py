@@ -59,7 +59,7 @@ def test_headline_modes_and_errors(spark):
     got = {r["provider"]: tuple(r)[1:] for r in agg.headline(rows).collect()}
     assert got["p"] == (0.1, 0.3, pytest.approx(3.0), 0.4)
     assert got["q"] == (0.0, 0.1, None, 0.3) and got["r"] == (None, None, None, 0.0)
-    same = {r["provider"]: r["m"] for r in rows.groupBy("provider").agg(agg.upper_median(F.col("rtf"), F.col("rtf") != F.lit(math.inf)).alias("m")).collect()}
+    same = {r["provider"]: r["median_rtf"] for r in agg.exact_upper_median(rows, "rtf", "provider").collect()}
     assert same == {p: v[3] for p, v in got.items()}
     assert {r["provider"]: r["read"] for r in agg.failure_mode(rows).collect()} == {"p": "drops audio", "q": "hallucinates", "r": "drops audio"}
     assert [(r["provider"], len(r["error"]), r["n"]) for r in agg.error_histogram(rows, "ord").collect()] == [("p", 4, 1), ("q", 110, 1), ("q", 4, 1)]
@@ -171,14 +171,14 @@ def test_end_to_end(spark, tmp_path):
     silent = corpus.withColumn("audio", F.when(F.col("utt_ord") != 2, F.col("audio")))
     results, plan = run_benchmark(silent, ["mock"], conditions)
     rows = results.collect()
-    assert plan["cells"] == 18 and len(rows) == 15 and plan["actual_cost_usd"] == 0  # an unreadable signal is left out
+    assert plan["cells"] == 18 and len(rows) == 15 and plan["actual_cost_usd"] == 0 and plan["skipped_utterances"] == 1  # an unreadable signal is left out
     assert len({r["ord"] for r in rows}) == 15 and all(r["wer"] >= 0 for r in rows)
     path = m.write_results(results, plan, str(tmp_path))
     plan2, stored = m.read_results(spark, path)
     assert plan2["conditions"] == plan["conditions"] and stored.count() == 15
     paths = build_report(stored, plan2, str(tmp_path), NormalizerConfig())
     text = open(paths["markdown"]).read()
-    assert all(x in text for x in ("## Headline", "## By channel condition", "## By domain", "## Failure mode")) and "## By accent" not in text and "telephony_lossy_3pct" in text
+    assert all(x in text for x in ("## Clean speech", "## Conditions", "## Domains", "## Kinds of error", "without readable audio: 1")) and "## Accents" not in text and "telephony_lossy_3pct" in text
     assert open(paths["svg"]).read().startswith("<svg")
     calls, spent = run_benchmark(corpus, ["deepgram"], conditions, max_cost_usd=1.0, batch=2)
     assert {r["error"] for r in calls.collect()} == {"missing API key (set DEEPGRAM_API_KEY)"} and spent["actual_cost_usd"] == 0
@@ -209,3 +209,123 @@ def test_stream_equals_batch(spark, tmp_path):
     got = [tuple(r) for r in spark.table("live_rates").collect()]
     q.stop()
     assert got == [tuple(r) for r in live_wer(df).collect()]
+
+
+def test_intervals_in_parts(monkeypatch):
+    """Draws made a few resamples at a time are those of the generator."""
+    from earshot.operators import bootstrap
+
+    rng = np.random.default_rng(2)
+    e, r = rng.integers(0, 4, 70), rng.integers(4, 9, 70)
+    whole = percentile_interval(e, r)
+    monkeypatch.setattr(bootstrap, "_DRAWS", 500)
+    assert percentile_interval(e, r) == whole
+    draws, words = random.Random(0), np.concatenate(list(bootstrap.twister_draws(70, 30, 0)))
+    assert words.tolist() == [[draws.randrange(70) for _ in range(70)] for _ in range(30)]
+
+
+def test_single_list_of_pairs(spark):
+    from earshot import bootstrap_ci, corpus_wer
+
+    pairs = [("one cat", "one cat"), ("a b c", "a x c"), ("", ""), ("yes", "yes indeed")] * 6
+    got = corpus_wer(pairs).first()
+    assert (got["substitutions"], got["insertions"], got["reference_words"], got["wer"]) == (6, 6, 36, pytest.approx(12 / 36))
+    ci = bootstrap_ci(pairs).first()
+    assert ci["n"] == 24 and ci["lo"] <= 12 / 36 <= ci["hi"]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, reference string, hypothesis string").repartition(5)
+    assert tuple(bootstrap_ci(table, order="k").first()) == tuple(ci) and tuple(bootstrap_ci([]).first()) == (0, 0.0, 0.0)
+
+
+def test_running_cost_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(u, c, rng.randint(1, 9) / 1000) for u in rng.sample(range(10**6), 700) for c in range(3)]
+    for limit in (0.001, 1.0, 5.0, 100.0):
+        want, spent = set(), 0
+        for u, c, x in sorted(rows):
+            if spent <= round(limit * 1000):
+                want.add((u, c))
+            spent += round(x * 1000)
+        got = budget_cut(spark.createDataFrame(rows, "u long, c int, cost_usd double").repartition(6), limit, ["u", "c"])
+        assert {(r["u"], r["c"]) for r in got.collect()} == want and got.columns == ["u", "c", "cost_usd"]
+
+
+def test_upper_median_of_nothing(spark):
+    rows = [("a", None), ("a", math.inf), ("b", 3.0), ("b", 1.0), ("b", math.inf), ("c", 2.0), ("c", 2.0), ("c", 5.0), ("c", 1.0)]
+    got = {r["p"]: r["median_x"] for r in agg.exact_upper_median(spark.createDataFrame(rows, "p string, x double"), "x", "p").collect()}
+    assert got == {"a": 0.0, "b": 3.0, "c": 2.0}
+
+
+def test_damage_is_greater_on_a_worse_signal():
+    """The mock takes dull and flat signals for damaged ones, and spoils the text in proportion."""
+    from earshot.providers import damage
+
+    rng = np.random.default_rng(0)
+    tone, text = np.sin(np.arange(16000) / 5), " ".join(f"w{k}" for k in range(300))
+    errors = {}
+    for name, x in (("bright", rng.standard_normal(16000) * np.linspace(0, 1, 16000)), ("dull", tone), ("dull and noisy", tone + 0.05 * rng.standard_normal(16000))):
+        heard = MockProvider().transcribe(x.astype(np.float32), 16000, text, "k").text.split()
+        errors[name] = damage(x), sum(w not in heard for w in text.split())
+    assert [e for _, e in sorted(errors.values())] == sorted(e for _, e in errors.values())
+
+
+def test_stored_calls_are_not_paid_again(spark, tmp_path, monkeypatch):
+    from earshot.plans import planner
+
+    class Paid:
+        """A recogniser that costs a dollar an hour and notes its calls in a folder."""
+
+        name = "deepgram_nova"
+
+        def __init__(self, folder="", fail=""):
+            self.folder, self.fail = folder, fail
+
+        def transcribe(self, audio, sr, reference="", key=""):
+            import os
+            import uuid
+
+            with open(os.path.join(self.folder, key.replace("/", "+") + "+" + uuid.uuid4().hex), "w"):
+                pass
+            bad = bool(self.fail) and key.startswith(self.fail)
+            return Transcript("" if bad else reference, "deepgram", 0.1, 1.0, 0.0 if bad else 0.25, "down" if bad else None)
+
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    monkeypatch.setitem(planner.REGISTRY, "deepgram", Paid)
+    conditions = m.select_conditions(["wideband_clean", "telephony_clean"])
+    corpus = sample_corpus(spark, 1).where("utt_ord < 5").persist()
+    first = corpus.where("utt_ord = 0").first()["id"]
+    seen = lambda: sorted(p.name.rsplit("+", 1)[0] for p in calls.iterdir())
+    run = lambda budget, fail="": run_benchmark(corpus, ["deepgram"], conditions, max_cost_usd=budget, batch=2, save_to=store, provider_kwargs={"deepgram": {"folder": str(calls), "fail": fail}})
+    results, plan = run(0.6, first)
+    # the failed utterance is free, so the budget is passed in the second batch: four calls paid, three in the results
+    assert plan["stopped_early"] and plan["actual_cost_usd"] == 1.5 and len(seen()) == 8
+    assert plan["cost_of_results_usd"] == 0.75 and results.agg(F.sum("cost_usd")).first()[0] == 0.75
+    results, plan = run(9.0)
+    assert plan["actual_cost_usd"] == 1.0 and len(seen()) == 12 and "stopped_early" not in plan  # two failed before, two new
+    rows = results.collect()
+    assert len(rows) == 10 and len({r["ord"] for r in rows}) == 10 and all(r["error"] is None and r["wer"] == 0 for r in rows)
+    results, plan = run(9.0)
+    assert plan["actual_cost_usd"] == 0 and len(seen()) == 12 and results.count() == 10
+
+
+def test_durations_come_from_headers(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav_bytes(np.zeros(4000, np.float32), 8000))
+    files = read_audio(spark, str(tmp_path)).agg(F.sum("duration_s").alias("s"))
+    assert files.first()["s"] == 0.5 and "decode_wav" not in files._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corpus_on_disk(spark, tmp_path):
+    from earshot.sources.samples import write_corpus
+
+    path = write_corpus(spark, str(tmp_path / "c"), 1)
+    rows = m.read_manifest(spark, path).collect()
+    assert len(rows) == 15 and all(read_wav(open(r["audio_path"], "rb").read())[1] == 16000 for r in rows)
+    assert m.total_audio_seconds(m.read_manifest(spark, path)).first()[0] == pytest.approx(sum(r["duration_s"] for r in rows)) and rows[0]["duration_s"] > 0
+    kept = open(path).read()
+    assert write_corpus(spark, str(tmp_path / "c"), 3) == path and open(path).read() == kept  # what is there is kept
+
+
+def test_results_without_json(spark, tmp_path):
+    rows = [("u", "p", "c", "a b c", "a x c", 0.0, 0, 0, 0, 0, 0.1, 0.1, 0.0, "a", "b", "s", "d", None)]
+    path = m.write_results(spark.createDataFrame(rows, m.RESULT), {"cells": 1}, str(tmp_path), as_json=False)
+    assert spark.read.parquet(path).count() == 1 and json.loads((tmp_path / "plan.json").read_text()) == {"cells": 1} and not (tmp_path / "results.json").exists()

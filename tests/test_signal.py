@@ -116,3 +116,20 @@ def test_native_expressions(spark):
     states = spark.createDataFrame([(u.tolist(),)], "u array<double>").select(signal.loss_states(F.col("u"), 0.1)).first()[0]
     lost = dsp.packet_loss(np.ones(16000, np.float32), 8000, 0.1, rng=np.random.default_rng(0)).reshape(100, 160)[:, 0] == 0
     assert states == lost.astype(int).tolist()
+
+
+def test_loss_states_of_long_signals(spark):
+    import random
+
+    from earshot.functions.signal import loss_states
+
+    rng = random.Random(4)
+    rows = [(k, [rng.random() for _ in range(n)]) for k, n in enumerate((0, 1, 255, 256, 257, 5000))] + [(9, None)]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(rows, "k int, u array<double>").select("k", loss_states(F.col("u"), 0.3).alias("s")).collect()}
+    q, p = 1 / 3, 0.3 / 3 / 0.7
+    for k, u in rows:
+        bad, want = 0, []
+        for r in u or ():
+            bad = int(r > q) if bad else int(r < p)
+            want.append(bad)
+        assert got[k] == (None if u is None else want)
