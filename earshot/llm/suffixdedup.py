@@ -51,7 +51,7 @@ from .lm import bucket_of
 from .textbuf import Buf, chunks, mix
 
 _GRAM = 32
-_BROADCAST_BYTES = 16 << 20
+_BROADCAST_BYTES, _BROADCAST_SPANS = 1 << 20, 16 << 20
 _BLOCK_STRINGS = 20_000
 _HOT = 16_000, 60_000
 SCHEMA = "bucket int, base long, a binary, b binary"
@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", key:
     spark = docs.sparkSession
     placed = place(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     spans = repeated_spans(placed, length, "_text", hot)
-    small = (spans.agg(F.sum(F.size("starts") * 16 + 32)).first()[0] or 0) <= _BROADCAST_BYTES
+    small = (spans.agg(F.sum(F.size("starts") * 16 + 32)).first()[0] or 0) <= _BROADCAST_SPANS
     joined = placed.join(F.broadcast(spans) if small else spans, "_uid", "left").select("_uid", "_key", "_text", "starts", "ends")
     if passage:
         covered = repeated_spans(placed, passage, "_text", hot).select("_uid", F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_passage"))

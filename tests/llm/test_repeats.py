@@ -103,6 +103,7 @@ def removed(texts, length):
 @pytest.mark.parametrize("length,bytes_to_broadcast", [(64, 1 << 20), (100, -1)])
 def test_suffix_dedup(table, monkeypatch, length, bytes_to_broadcast):
     monkeypatch.setattr(suffixdedup, "_BROADCAST_BYTES", bytes_to_broadcast)
+    monkeypatch.setattr(suffixdedup, "_BROADCAST_SPANS", bytes_to_broadcast)
     rng = random.Random(length)
     rows = documents(n=25)
     passage = "".join(rng.choice("abcdé ") for _ in range(150))
