@@ -87,3 +87,49 @@ def test_public_names():
     assert all(callable(getattr(earshot, name)) for name in earshot.__all__)
     with pytest.raises(AttributeError):
         earshot.nothing  # noqa: B018
+
+
+def folded(text):
+    """Number words of a normalised text folded word by word."""
+    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    value = {w: k for k, w in enumerate(ones)} | {"oh": 0} | {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+    digit = set(ones[:10]) | {"oh"}
+
+    def number(run):
+        if len(run) > 1 and all(w in digit for w in run):
+            return "".join(str(value[w]) for w in run)
+        total = part = 0
+        seen = False
+        for w in run:
+            if w in value:
+                part, seen = part + value[w], True
+            elif not seen:
+                return None
+            elif w == "hundred":
+                part = max(part, 1) * 100
+            else:
+                total, part = total + max(part, 1) * 1000, 0
+        out = total + part
+        return str(out) if seen and out < 10**38 else None
+
+    out, run = [], []
+    for w in [*text.split(" "), None]:
+        if w is not None and (w in value or w in ("hundred", "thousand")):
+            run.append(w)
+            continue
+        if run:
+            got = number(run)
+            out += [got] if got is not None else run
+            run = []
+        out.append(w)
+    return " ".join(out[:-1])
+
+
+def test_number_words_of_whole_conversations(spark):
+    from earshot.queries import ODD_WORDS, normalized_plain, number_words
+
+    d = "/root/testdata/sf0.001"
+    plain = {(r["conv_id"], r["turn"]): r["normalized"] for r in normalized_plain(spark, d).collect()}
+    rows = number_words(spark, d).collect()
+    assert len(rows) == spark.read.parquet(f"{d}/conversations.parquet").count() and any(w in r["said"] for r in rows for w in ODD_WORDS)
+    assert all(r["normalized"] == folded(plain[r["conv_id"], r["turn"]]) for r in rows)
