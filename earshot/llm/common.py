@@ -68,15 +68,16 @@ def _one_parquet_scan(docs: DataFrame) -> bool:
 def place(docs: DataFrame, name: str = "_uid") -> DataFrame:
     """docs with a long column that tells its rows apart and is the same in every job, whatever the splits and cores.
 
-    Rows of Parquet files are known by file and row number: a hash of the path gives each file a start, and the driver
-    makes sure that the ranges of the files (two numbers a file) don't overlap. Any other rows are written once, with their numbers.
+    Rows of Parquet files are known by file and row number: a hash of the file's name gives each file a start, so a table that is
+    moved or read by another path keeps its places; where names repeat (folders of partitions), the path is hashed instead. The
+    driver makes sure that the ranges of the files (two numbers a file) don't overlap. Any other rows are written once, with their numbers.
     """
     spark = docs.sparkSession
     if not _one_parquet_scan(docs):
         return shared(docs.withColumn(name, F.monotonically_increasing_id()), spark)
     meta = docs.metadataColumn("_metadata")
-    for seed in range(16):
-        start = F.xxhash64(meta["file_path"], F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
+    for seed in range(17):
+        start = F.xxhash64(meta["file_path"] if seed else meta["file_name"], F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
         ranges = docs.select(start.alias("start"), meta["file_path"].alias("file"), meta["row_index"].alias("row")).groupBy("start", "file").agg((F.max("row") + 1).alias("n"))
         found = sorted((r["start"], r["n"]) for r in ranges.select("start", "n").collect())
         if all(a + n <= b for (a, n), (b, _) in zip(found[:-1], found[1:], strict=True)):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from texts import documents
 
 from earshot.llm import jaccard, linededup, suffixdedup
+from earshot.llm.common import place
 from earshot.llm.jaccard import boundary, near_duplicates, prefix, resolve
 from earshot.llm.linededup import dedup_lines
 from earshot.llm.repetition import RepetitionRules, repetition_quality
@@ -70,9 +71,9 @@ def test_line_dedup(table, monkeypatch, rows_to_broadcast):
 
     rows = [(rng.choice([d, d, 5, None]), None if d % 17 == 3 else "\n".join(change(rng.choice(base)) for _ in range(rng.randint(0, 6))), d, "x", d) for d in range(90)]
     df = table(rows, "doc_id long, text string, n_lines int, _uid string, row int")
-    place = {r["row"]: r["u"] for r in df.select("row", F.monotonically_increasing_id().alias("u")).collect()}
+    at_row = {r["row"]: r["u"] for r in place(df.drop("_uid"), "u").select("row", "u").collect()}
     got = {r["row"]: r for r in dedup_lines(df, min_chars=6).collect()}
-    lines = sorted(((-(1 << 63) if r[0] is None else r[0], place[r[4]], k), x, r[4]) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if x.strip(" \t\n\v\f\r"))
+    lines = sorted(((-(1 << 63) if r[0] is None else r[0], at_row[r[4]], k), x, r[4]) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if x.strip(" \t\n\v\f\r"))
     gone = defaultdict(dict)
     for i, (at, x, row) in enumerate(lines):
         earlier = [y for _, y, _ in lines[:i]]

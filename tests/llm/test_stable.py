@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import os
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -104,6 +106,13 @@ def test_place(spark, table):
     joined = df.join(df.select("doc_id"), "doc_id")  # rows that are no rows of a file are written with their numbers
     assert len({x[2] for x in read(joined)}) == joined.count()
     assert place(df.where("doc_id < 10"), "u").select("u").distinct().count() == 10
+    path = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    shutil.copytree(path, path + "-moved")  # names of files, not folders, decide
+    assert read(spark.read.parquet(path + "-moved")) == first
+    for part in "ab":  # the same names in two folders
+        shutil.copytree(path, f"{path}-parts/p={part}", ignore=shutil.ignore_patterns("_*", ".*"))
+    twice_ = place(spark.read.parquet(path + "-parts"), "u").select("u")
+    assert twice_.distinct().count() == twice_.count() == 2 * len(first)
 
 
 @pytest.mark.parametrize("hot", [(1, 9), (1, 1), (3, 70)])
