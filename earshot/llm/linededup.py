@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line goes if an earlier line (in the order of document id, place of the row, line number; over all
-documents) is within the edit bound: equal, or one inserted, deleted or replaced character away if both have
-at least `min_chars` characters. The earliest stays. Blank lines always stay and match nothing.
+documents) is within the edit bound: equal, or at most `bound` inserted, deleted or replaced characters away if both
+have at least `min_chars` characters. The earliest stays. Blank lines always stay and match nothing.
+
+For the usual bound of one character:
 
 1. Equal lines: hashes of lines, reduced to the earliest of each within each task, then over all.
 2. A filter that loses nothing: two lines at distance 1 agree on the first or the last half (halves taken
@@ -13,18 +15,27 @@ at least `min_chars` characters. The earliest stays. Blank lines always stay and
    is set against the earliest only, so no pairs of a group are made.
 4. Each (line, earlier line) found so is verified by its edit distance, and the later line is dropped.
 
+For a larger bound k the same is done with all variants of up to k operations, each of which deletes a character or
+marks its place as replaced. Lines x and y that meet in a variant with s marks, after dx and dy deletions, are within
+s + dx + dy; so each line is set against the earliest line of the group whose deletions leave that sum within k, again
+without pairs. Lines of k + 1 pieces that share no piece with another, at a shift that k edits allow, are ruled out
+before. A line of n characters that is left has about (2 n)^k / k! variants, sent as rows, which is why the
+bound is meant to stay small.
+
 Keys travel in packed blocks, so a shuffled row holds many keys. Lines are known by polynomials modulo 2**61 - 1.
 A block's keys are sorted in one task; blocks follow spark.sql.shuffle.partitions, and a hot line, half or variant has one key for each task that met it.
 
 Defined cases: null texts stay null, empty texts stay empty; very long texts and lines are handled whole (a line of n
-characters emits up to 2 n variants, if a half of it occurs in another line); equal rows are told apart by their place, so the
+characters emits up to 2 n variants at a bound of 1, if a half of it occurs in another line; beyond that they are made in parts of a bounded size); a bound of 0 takes out equal lines only; equal rows are told apart by their place, so the
 later loses its lines; a null id sorts first; ids are integers; an empty table gives an empty result; further columns stay as
 they are, and counts whose names are taken get an underscore in front.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain, combinations, islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +54,8 @@ LINE = np.dtype([("h", "<u8"), ("d", "<i8"), ("u", "<i8"), ("n", "<i4")])
 SCHEMA = "bucket int, kind int, a binary, b binary"
 _DROP, _LINES, _HALVES, _CODES = 0, 1, 2, 3
 _BROADCAST_ROWS = 50_000
+_PART = 50_000
+LISTED = "_uid long, d long, n int, h long, code int"
 
 
 class _Symbols:
@@ -102,7 +115,7 @@ def _uid_key(u: np.ndarray) -> np.ndarray:
     return mix(u.astype(np.uint64))
 
 
-def _scan(blocks: int, min_chars: int):
+def _scan(blocks: int, min_chars: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, halves, size = [], [], 0
 
@@ -132,7 +145,7 @@ def _scan(blocks: int, min_chars: int):
                 n = b - a
                 k = np.flatnonzero(n >= min_chars)
                 a, b, n, h = a[k], b[k], n[k], x["h"][k]
-                for longer in (0, 1):  # as a line of the greater length, or one shorter than it
+                for longer in (0, 1) if len(k) else ():  # as a line of the greater length, or one shorter than it
                     m = n + longer
                     half = m // 2
                     # the parity of a salt says which half it is, and the lowest bit of the value which length
@@ -301,6 +314,98 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, j].astype(np.int64)) for j in range(4)], names=["h", "other", "_uid", "n"])
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest line of each kind of equal ones, as rows."""
+    for batch in batches:
+        for a in batch.column(2).to_pylist():
+            x = np.frombuffer(a, LINE)
+            yield pa.RecordBatch.from_arrays([pa.array(x["u"]), pa.array(x["d"]), pa.array(x["n"]), pa.array(x["h"].astype(np.int64)), pa.array(np.zeros(len(x), np.int32))], names=["_uid", "d", "n", "h", "code"])
+
+
+def _pieces(bound: int, min_chars: int):
+    """Keys of the pieces of each line (whole), and of the stretches that a piece of an equal or longer line may be.
+
+    Of bound + 1 pieces one, the j-th, is left by the edits with at most j of them before it and bound - j behind it, which
+    bounds its shift from either end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for lo, hi, buf in chunks(batch.column(1)):
+                sym = _Symbols(buf)
+                a, b = sym.at[buf.off[:-1]], sym.at[buf.off[1:]]
+                keys, whole, of = [], [], []
+                for longer in range(bound + 1):
+                    m = b - a + longer
+                    for j in range(bound + 1):
+                        c, d = m * j // (bound + 1), m * (j + 1) // (bound + 1)
+                        salt = mix(m.astype(np.uint64) * np.uint64(bound + 1) + np.uint64(j))
+                        for shift in range(max(-j, j - bound - longer), min(j, bound - j - longer) + 1):
+                            k = np.flatnonzero((b - a >= min_chars) & (c + shift >= 0) & (a + d + shift <= b))
+                            key = mix(sym.raw(a[k] + c[k] + shift, a[k] + d[k] + shift) ^ salt[k])
+                            for role in (True, False) if longer == shift == 0 else (False,):
+                                keys.append(key)
+                                whole.append(np.full(len(k), role))
+                                of.append(h[lo:hi][k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(whole)), pa.array(np.concatenate(of))], names=["key", "whole", "h"])
+
+    return run
+
+
+def _operations(sym: _Symbols, a: int, b: int, bound: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Keys of the variants of the code points [a, b), in parts, with their deletions and the deletions that are left to another line."""
+    for t in range(min(bound, b - a) + 1):
+        places = combinations(range(a, b), t)
+        while part := list(islice(places, _PART)):
+            at = np.fromiter(chain.from_iterable(part), np.int64).reshape(len(part), t)
+            edges = np.concatenate([np.full((len(part), 1), a - 1), at, np.full((len(part), 1), b)], 1)
+            left = np.zeros(len(part), np.uint64)
+            back = np.full(len(part), sym.byte[a])
+            for k in range(t + 1):
+                s, e = sym.byte[edges[:, k] + 1], sym.byte[edges[:, k + 1]]
+                left = reduced(left + sym.prefix.moved(sym.prefix.sum(s, e), back))
+                if k < t:
+                    back = back + sym.byte[edges[:, k + 1] + 1] - e
+            for marked in product((False, True), repeat=t):
+                marks, gone = np.zeros(len(part), np.uint64), 0
+                for k, mark in enumerate(marked):
+                    if mark:
+                        marks = mix(marks + (at[:, k] - a - gone + 1).astype(np.uint64))
+                    gone += not mark
+                yield mix(left ^ marks), gone, bound - t
+
+
+def _neighbours(bound: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Variants of lines, with the line."""
+        for batch in batches:
+            line = [batch.column(j).to_numpy() for j in range(4)]
+            for lo, _, buf in chunks(batch.column(4), 1 << 18):
+                sym = _Symbols(buf)
+                for k in range(buf.n):
+                    for key, gone, room in _operations(sym, int(sym.at[buf.off[k]]), int(sym.at[buf.off[k + 1]]), bound):
+                        own = [np.full(len(key), x[lo + k]) for x in line]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), np.full(len(key), gone, np.int32), np.full(len(key), room, np.int32), *own)], names=["key", "gone", "room", "_uid", "d", "n", "h"])
+
+    return run
+
+
+def _pairs_within(cut: DataFrame, bound: int, min_chars: int) -> DataFrame:
+    """h, other, _uid, n: lines with an earlier one that shares a variant with them. Groups are reduced to their earliest lines, never expanded."""
+    pieces = cut.select("h", "line").mapInArrow(_pieces(bound, min_chars), "key long, whole boolean, h long")
+    ends = [f("h").alias(n) for f, n in ((F.min, "y0"), (F.max, "y1"))]
+    ends += [f(F.when(F.col("whole"), F.col("h"))).alias(n) for f, n in ((F.min, "x0"), (F.max, "x1"))]
+    met = pieces.groupBy("key").agg(*ends).where("x0 is not null and y0 <> y1")
+    left = pieces.join(met.hint("merge"), "key").where("whole or x0 <> h or x1 <> h").select("h").distinct()
+    lines = cut.join(left, "h", "left_semi").select("_uid", "d", "n", "h", "line")
+    variants = lines.mapInArrow(_neighbours(bound), "key long, gone int, room int, _uid long, d long, n int, h long").withColumn("own", F.struct("d", "_uid", "n", "h"))
+    first = variants.groupBy("key").agg(*[F.min(F.when(F.col("gone") <= k, F.col("own"))).alias(f"first{k}") for k in range(bound + 1)], F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").drop("h0", "h1")
+    earliest = F.coalesce(*[F.when(F.col("room") == k, F.col(f"first{k}")) for k in range(bound + 1)])
+    found = variants.join(first.hint("merge"), "key").withColumn("earliest", earliest).where(F.col("earliest") < F.col("own"))
+    return found.select("h", F.col("earliest.h").alias("other"), "_uid", F.col("n").cast("long").alias("n")).distinct()
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Dropped lines of each row."""
     got: dict[int, list] = {}
@@ -313,8 +418,31 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[first, 0]), pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), pa.array(x[:, 1].astype(np.int32)))], names=["_uid", "exact"])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: str = "doc_id", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
+def _near_lists(found: DataFrame, texts: DataFrame, blocks: int, bound: int, min_chars: int) -> DataFrame:
+    """_uid and near: the lines of each row that go for an earlier one within the bound."""
+    spark = found.sparkSession
+    if bound == 1:
+        near = found.where(F.col("kind") != _DROP).repartition(blocks, "bucket").mapInArrow(_find, LISTED)
+    else:
+        near = found.where(F.col("kind") == _LINES).mapInArrow(_firsts, LISTED)
+    near = shared(near.groupBy("_uid").agg(F.collect_list(F.struct("d", "n", "h", "code")).alias("listed")), spark)
+    small = near.count() <= _BROADCAST_ROWS  # a row for each text with such lines; beyond that both sides are shuffled
+    joined = texts.join(F.broadcast(near) if small else near, "_uid")
+    cut = shared(joined.select("_uid", "listed", texts.columns[1]).mapInArrow(_cut, LISTED + ", line string"), spark)
+    if bound == 1:
+        pairs = cut.mapInArrow(_variants(blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_pair, "h long, other long, _uid long, n long").distinct()
+    else:
+        pairs = _pairs_within(cut, bound, min_chars)
+    left = cut.select(F.col("h"), F.col("line").alias("_l"))
+    right = cut.select(F.col("h").alias("other"), F.col("line").alias("_r"))
+    close = pairs.join(left, "h").join(right, "other").where(F.levenshtein("_l", "_r", bound).between(0, bound))
+    return close.groupBy("_uid").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: str = "doc_id", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near"), bound: int = 1) -> DataFrame:
     """docs with the lines that go taken out of the text, and three counts: lines that aren't blank, and those dropped as equal or as near."""
+    if bound < 0:
+        raise ValueError("the edit bound is a number of characters, 0 or more")
     spark: SparkSession = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     names = docs.columns
@@ -323,17 +451,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, text: str = "text", key: s
     placed = place(docs.toDF(*inner))
     line_text = inner[at]
     rows = placed.select("_uid", F.col(inner[names.index(key)]).cast("long").alias("_id"), line_text)
-    found = shared(rows.mapInArrow(_scan(blocks, min_chars), SCHEMA).repartition(blocks, "bucket").mapInArrow(_settle(blocks), SCHEMA), spark)
-    near = found.where(F.col("kind") != _DROP).repartition(blocks, "bucket").mapInArrow(_find, "_uid long, d long, n int, h long, code int")
-    near = shared(near.groupBy("_uid").agg(F.collect_list(F.struct("d", "n", "h", "code")).alias("listed")), spark)
-    small = near.count() <= _BROADCAST_ROWS  # a row for each text with such lines; beyond that both sides are shuffled
-    texts = placed.select("_uid", line_text).join(F.broadcast(near) if small else near, "_uid")
-    cut = shared(texts.select("_uid", "listed", line_text).mapInArrow(_cut, "_uid long, d long, n int, h long, code int, line string"), spark)
-    pairs = cut.mapInArrow(_variants(blocks), SCHEMA).repartition(blocks, "bucket").mapInArrow(_pair, "h long, other long, _uid long, n long").distinct()
-    left = cut.select(F.col("h"), F.col("line").alias("_l"))
-    right = cut.select(F.col("h").alias("other"), F.col("line").alias("_r"))
-    close = pairs.join(left, "h").join(right, "other").where(F.levenshtein("_l", "_r", 1).between(0, 1))
-    near_lists = close.groupBy("_uid").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("near"))
+    found = shared(rows.mapInArrow(_scan(blocks, min_chars if bound == 1 else math.inf), SCHEMA).repartition(blocks, "bucket").mapInArrow(_settle(blocks), SCHEMA), spark)
+    if bound:
+        near_lists = _near_lists(found, placed.select("_uid", line_text), blocks, bound, min_chars)
+    else:
+        near_lists = spark.createDataFrame([], "_uid long, near array<int>")
     exact_lists = found.where(F.col("kind") == _DROP).repartition(blocks, "bucket").mapInArrow(_lists, "_uid long, exact array<int>")
     drops = exact_lists.join(near_lists, "_uid", "full")
     schema = StructType(docs.withColumn(text, F.col(text).cast("string")).schema.fields)

@@ -46,25 +46,23 @@ def test_repetition(table):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
-def within_one(a, b):
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    for k in range(len(a)):
-        if a[k] != b[k]:
-            return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
-    return True
+def within(a, b, bound):
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a):
+        diagonal, row[0] = row[0], k + 1
+        for j, y in enumerate(b):
+            diagonal, row[j + 1] = row[j + 1], min(diagonal + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1] <= bound
 
 
-@pytest.mark.parametrize("rows_to_broadcast", [50_000, -1])
-def test_line_dedup(table, monkeypatch, rows_to_broadcast):
+@pytest.mark.parametrize("rows_to_broadcast,bound", [(50_000, 1), (-1, 1), (50_000, 0), (50_000, 2), (-1, 3)])
+def test_line_dedup(table, monkeypatch, rows_to_broadcast, bound):
     monkeypatch.setattr(linededup, "_BROADCAST_ROWS", rows_to_broadcast)
     rng = random.Random(3)
     base = ["".join(rng.choice("abé日 ") for _ in range(rng.randint(0, 16))) for _ in range(40)]
 
     def change(x):
-        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3][: 5 + (bound > 1)])):
             k, c = rng.randint(0, len(x)), rng.choice("abé日")
             x = rng.choice([x[:k] + c + x[k:], x[:k] + x[k + 1 :], x[:k] + c + x[k + 1 :]])
         return x
@@ -72,14 +70,14 @@ def test_line_dedup(table, monkeypatch, rows_to_broadcast):
     rows = [(rng.choice([d, d, 5, None]), None if d % 17 == 3 else "\n".join(change(rng.choice(base)) for _ in range(rng.randint(0, 6))), d, "x", d) for d in range(90)]
     df = table(rows, "doc_id long, text string, n_lines int, _uid string, row int")
     at_row = {r["row"]: r["u"] for r in place(df.drop("_uid"), "u").select("row", "u").collect()}
-    got = {r["row"]: r for r in dedup_lines(df, min_chars=6).collect()}
+    got = {r["row"]: r for r in dedup_lines(df, min_chars=6, bound=bound).collect()}
     lines = sorted(((-(1 << 63) if r[0] is None else r[0], at_row[r[4]], k), x, r[4]) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if x.strip(" \t\n\v\f\r"))
     gone = defaultdict(dict)
     for i, (at, x, row) in enumerate(lines):
         earlier = [y for _, y, _ in lines[:i]]
         if x in earlier:
             gone[row][at[2]] = "exact"
-        elif any(min(len(x), len(y)) >= 6 and within_one(x, y) for y in earlier):
+        elif any(min(len(x), len(y)) >= 6 and within(x, y, bound) for y in earlier):
             gone[row][at[2]] = "near"
     for r in rows:
         want = None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[r[4]])
@@ -88,6 +86,20 @@ def test_line_dedup(table, monkeypatch, rows_to_broadcast):
         assert (g["n_exact"], g["n_near"]) == (sum(v == "exact" for v in gone[r[4]].values()), sum(v == "near" for v in gone[r[4]].values()))
 
 
+def test_line_dedup_bounds(table):
+    """Two typos, a swap, and a chain of lines; lines over a block of variants; empty tables."""
+    line = "the quick brown fox jumps over the lazy dog and runs away from there"
+    swap, typos, far = line.replace("brown", "borwn"), line.replace("quick", "quikc").replace("away", "awy"), line.replace("lazy dog", "hazy fog!")
+    long = "".join(random.Random(5).choice("abcdefgh ") for _ in range(200))
+    rows = [(k, t, None, None, None) for k, t in enumerate([line, swap, typos, far, long, long[:100] + "ZZ" + long[100:], long[1:150] + long[151:], "", None, "one two"])]
+    df = table(rows)
+    kept = {b: {r["doc_id"] for r in dedup_lines(df, bound=b).collect() if r["n_lines"] and r["n_exact"] + r["n_near"] == 0} for b in (1, 2)}
+    assert kept == {1: {0, 1, 2, 3, 4, 5, 6, 9}, 2: {0, 2, 3, 4, 9}}
+    assert dedup_lines(df.where("doc_id < 0"), bound=2).collect() == []
+    with pytest.raises(ValueError):
+        dedup_lines(df, bound=-1)
+
+
 def removed(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
