@@ -6,13 +6,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_repeats import LOW, W
 from texts import documents
 
 from earshot.llm.langid import ftrl, language_id, temperature
 from earshot.llm.lm import lm_scores, pack, pack_keys, unpack, unpack_keys
-from earshot.llm.ranking import bradley_terry, quality_ranking
+from earshot.llm.ranking import GRAM_SCALE, NAMES, bradley_terry, features, key_bins, order_statistics, quality_ranking
+from earshot.llm.textbuf import chunks
 
 LANGS = {"en": "the of and with from this that river stone cloud", "de": "der die und nicht über straße schön wald haus", "es": "el la niño señor corazón camino sueño agua"}
 
@@ -30,6 +32,42 @@ def test_bradley_terry():
     assert not bradley_terry(x, np.ones(300)).any()
 
 
+def test_bradley_terry_all_pairs():
+    """The gradient over all 200,000 pairs, made one by one, is nothing at the weights."""
+    rng = np.random.default_rng(2)
+    x = np.clip(rng.normal(size=(900, 6)), -8, 8)
+    y = (x @ rng.normal(size=6) + rng.normal(size=900) > 0.4).astype(float)
+    w = bradley_terry(x, y)
+    good, bad = x[y == 1], x[y == 0]
+    assert len(good) * len(bad) > 150_000
+    p = 1 / (1 + np.exp((good @ w)[:, None] - (bad @ w)[None]))
+    assert np.abs(1e-3 * w - (p.sum(1) @ good - p.sum(0) @ bad) / p.size).max() < 1e-8
+
+
+def test_order_statistics():
+    u = np.concatenate([np.random.default_rng(3).normal(size=1000) * 50, [0.0, -0.0, 7, 7, 7, 1e-300, -1e300]])
+    ranks = [0, 1, 499, 500, 1005, 1006]
+    assert order_statistics(ranks, lambda k, heads: key_bins(u, k, heads)) == np.sort(u)[ranks].tolist()
+
+
+def test_quality_learns_from_all_labelled_rows(table):
+    """Scores are those of a model in memory of all 21,000 and more labelled training rows."""
+    rng = random.Random(12)
+    words = "river stone Under the bright, cloud walked home again. 7 BUY!! ### x".split()
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 9))), "en", "a", 0) for k in range(27_000)]
+    labels = [(k, int((t.count("i") - t.count("#") + rng.gauss(0, 2)) > 0), 0) for k, t, *_ in rows]
+    got = {r["doc_id"]: r["score"] for r in quality_ranking(table(rows), table(labels, "doc_id long, quality int, toxic int")).collect()}
+    x = np.concatenate([features(buf) for _, _, buf in chunks(pa.array([r[1] for r in rows]))]).astype(np.float32).astype(float)
+    train = np.array([crc(r[0], 5) != 0 for r in rows])
+    y = np.array([r[1] for r in labels], float)[train]
+    assert len(y) > 21_000
+    mean, std = x[train].mean(0), x[train].std(0)
+    z = np.clip((x - mean) / np.where(std > 1e-9, std, 1), -8, 8) * np.where(np.arange(x.shape[1]) < len(NAMES), 1, GRAM_SCALE)
+    u = z @ bradley_terry(z[train], y)
+    t = (u - np.quantile(u[train], 1 - y.mean())) / (u[train].std() / 2) + math.log(0.3 / 0.7)
+    assert np.abs(np.array([got[r[0]] for r in rows]) - 1 / (1 + np.exp(-t))).max() < 1e-6
+
+
 def test_quality(table):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice("river stone under the bright cloud walked home again".split()) for _ in range(60)) + "."
