@@ -123,6 +123,28 @@ def test_components(spark):
     assert all(got.get(x, x) == m for x, m in label.items()) and set(got) >= {x for a, b in edges if a != b for x in (a, b)} - alone
 
 
+def test_components_tasks(spark):
+    """A few edges take a few tasks, however many partitions there are; edges beyond a task go through the rounds."""
+    rng = random.Random(9)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5040)]
+    label = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in range(80):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    sc, df = spark.sparkContext, spark.createDataFrame(edges, "a long, b long")
+    sc.setJobGroup("components", "")
+    try:
+        assert sorted(map(tuple, connected_components(df).collect())) == sorted(label.items())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("components") for s in told.getJobInfo(j).stageIds}
+    assert sum(x.numTasks for x in map(told.getStageInfo, stages) if x) <= 60
+    for most in (50, 300):
+        assert sorted(map(tuple, connected_components(df, edges_a_task=most).collect())) == sorted(label.items())
+
+
 def test_pipeline(spark, table, tmp_path):
     import corpus_pipeline
 
